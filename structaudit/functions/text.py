@@ -41,6 +41,9 @@ TOKEN = r"[A-Za-z0-9(\[α-ω][A-Za-z0-9\-,'()\[\]+α-ω]*"
 HANGUL = "[가-힣]"
 # Unicode word boundaries: a particle glued to the letter means the letter is not a vitamin.
 VITAMIN_IN_LINE = r"(?U)(?:vitamins?|비타민)\s*([A-Ka-k]\d{0,2})\b"
+# A token that cleaning leaves alone, and a word whose tests can be cut short.
+CLEAN_TOKEN = r"^(?=.*[A-Za-z])[A-Za-z0-9][A-Za-z0-9\-,'()\[\]+]*[A-Za-z0-9]$"
+SIMPLE_WORD = "^[A-Z]?[a-z]+$"
 VITAMIN_HANGUL = r"^비타민\s*([A-Ka-k][0-9]{0,2})$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 BLANKS = r"[\s\p{Z}]+"
@@ -204,7 +207,8 @@ def clean_token(token: Column) -> Column:
     plain = greek_to_latin(trimmed(token))
     bracketed = plain.rlike(r"^[(\[]|[)\]]$")
     cleaned = F.when(bracketed, peel(plain)).otherwise(plain)
-    return F.when((F.length(cleaned) >= 2) & cleaned.rlike("[A-Za-zα-ω]"), cleaned)
+    checked = F.when((F.length(cleaned) >= 2) & cleaned.rlike("[A-Za-zα-ω]"), cleaned)
+    return F.when(token.rlike(CLEAN_TOKEN), token).otherwise(checked)
 
 
 def clean_tokens(line: Column) -> Column:
@@ -226,22 +230,41 @@ def is_bad_word(word: Column) -> Column:
 
 
 def word_flags(word: Column) -> Column:
+    """The bits of one word.
+
+    Ordinary prose dominates, so the tests are ordered by what they can skip: a disqualified
+    word needs no other bit, and a word of plain letters cannot carry digits or hyphens.
+    """
     low = F.lower(word)
     core = F.btrim(low, F.lit("()[]"))
-    tests = {
-        BAD: is_bad_word(word),
+
+    def bits(tests: dict[int, Column]) -> Column:
+        return reduce(lambda acc, kv: acc + F.when(kv[1], kv[0]).otherwise(0), tests.items(), F.lit(0))
+
+    fragment = low.rlike("|".join(FRAGMENTS))
+    simple = {
+        SUFFIX: low.rlike(f"(?:{'|'.join(SUFFIXES)}|^acid)$"),
+        FRAGMENT: fragment,
+        BARE_BIT: low.isin(BARE),
+        CAPITAL: (F.length(word) >= 5) & (F.left(word, F.lit(1)) < "a"),
+        VITAMIN: low.isin("vitamin", "vitamins"),
+    }
+    full = {
         SUFFIX: core.rlike(f"(?i)(?:{'|'.join(SUFFIXES)})$|^(?:{STEREO})?acid$"),
         STEREO_BIT: word.rlike(f"(?i)^{STEREO}"),
         LOCANT_BIT: low.rlike(LOCANT),
-        FRAGMENT: low.rlike("|".join(FRAGMENTS)),
-        BARE_BIT: low.isin(BARE),
+        FRAGMENT: fragment,
         CAPITAL: (F.length(word) >= 5) & word.rlike("^[A-Z]") & ~word.contains("-"),
         ABBREVIATION: word.rlike("^[A-Za-z]{2,6}$") & word.rlike("[A-Z].*[A-Z]"),
+        BARE_BIT: low.isin(BARE),
         VITAMIN: low.isin("vitamin", "vitamins"),
         VITAMIN_LETTER: low.rlike("^[a-k][0-9]{0,2}$"),
     }
-    return reduce(
-        lambda acc, kv: acc + F.when(kv[1], kv[0]).otherwise(0), tests.items(), F.lit(0)
+    return (
+        F.when(low.isin(STOPWORDS + NOISE), BAD)
+        .when(word.rlike(SIMPLE_WORD), bits(simple))
+        .when(is_bad_word(word), BAD)
+        .otherwise(bits(full))
     )
 
 

@@ -43,36 +43,60 @@ def _position(source: int, words: int, start: Column | int) -> Column:
 
 
 def _word_windows(found: DataFrame, ids: Sequence[str], max_words: int) -> DataFrame:
-    """Every word with its flags and those of the following ``max_words - 1`` words."""
+    """Every word that may open a phrase, with its flags and those of the next words.
+
+    Columns x0 (the word) to x{max_words - 1}, each (w, f), NULL past the end of the line.
+    """
     flagged = F.transform(
         tx.clean_tokens(F.col("line")), lambda w: F.struct(w.alias("w"), tx.word_flags(w).alias("f"))
     )
-    words = found.select(*ids, "part", "line_no", flagged.alias("words"))
+    words = found.select(*ids, "part", "line_no", flagged.alias("words")).where(
+        F.exists("words", lambda x: x["f"] > tx.BAD)
+    )
     window = F.transform(
         F.col("words"),
-        lambda x, i: F.struct(
-            x.alias("x0"), *[F.get(F.col("words"), i + k).alias(f"x{k}") for k in range(1, max_words)]
+        lambda x, i: F.when(
+            x["f"].bitwiseAND(tx.BAD) == 0,
+            F.struct(
+                i.alias("start"), x.alias("x0"),
+                *[F.get(F.col("words"), i + k).alias(f"x{k}") for k in range(1, max_words)],
+            ),
         ),
     )
-    return words.select(*ids, "part", "line_no", F.posexplode(window).alias("start", "x"))
+    return words.select(*ids, "part", "line_no", F.inline(F.array_compact(window)))
 
 
 def ngrams(docs: DataFrame, ids: Sequence[str], text: str, n_max: int = 4, part: str | None = None) -> DataFrame:
     """Scored word windows of 1 to ``n_max`` words; windows that score nothing are dropped.
 
     A word is cleaned and tested once; a window's score only combines its words' bits. Windows
-    are scored before they become rows of their own.
+    are scored before any phrase is put together.
     """
     windows = _word_windows(lines(docs, ids, text, part), ids, n_max)
-    grams = []
-    for n in range(1, n_max + 1):
-        phrase = F.concat_ws(" ", *[F.col(f"x.x{i}.w") for i in range(n)])
-        fits = F.col(f"x.x{n - 1}").isNotNull() & F.length(phrase).between(MIN_PHRASE, MAX_PHRASE)
-        score = F.when(fits, tx.flags_score([F.col(f"x.x{i}.f") for i in range(n)]))
-        grams.append(F.struct(phrase.alias("phrase"), score.alias("score"), F.lit(n).alias("n")))
-    scored = windows.select(*ids, "part", "line_no", "start", F.inline(F.array(*grams))).where("score > 0")
+    sizes = range(1, n_max + 1)
+    scores = [
+        F.when(F.col(f"x{n - 1}").isNotNull(), tx.flags_score([F.col(f"x{i}.f") for i in range(n)])).alias(f"s{n}")
+        for n in sizes
+    ]
+    hits = windows.select("*", *scores).where(F.coalesce(*[F.col(f"s{n}") for n in sizes]).isNotNull())
+    grams = F.array(
+        *[
+            F.when(
+                F.col(f"s{n}").isNotNull(),
+                F.struct(
+                    F.concat_ws(" ", *[F.col(f"x{i}.w") for i in range(n)]).alias("phrase"),
+                    F.col(f"s{n}").alias("score"),
+                    F.lit(n).alias("n"),
+                ),
+            )
+            for n in sizes
+        ]
+    )
+    scored = hits.select(*ids, "part", "line_no", "start", F.inline(F.array_compact(grams)))
     pos = F.struct("part", "line_no", F.lit(2).alias("source"), F.col("n").alias("words"), "start")
-    return scored.select(*ids, "phrase", "score", pos.alias("pos"))
+    return scored.where(F.length("phrase").between(MIN_PHRASE, MAX_PHRASE)).select(
+        *ids, "phrase", "score", pos.alias("pos")
+    )
 
 
 def vitamin_hits(docs: DataFrame, ids: Sequence[str], text: str, part: str | None = None) -> DataFrame:
@@ -157,21 +181,24 @@ def label_text_candidates(docs: DataFrame, ids: Sequence[str], text: str) -> Dat
     def fits(value: Column) -> Column:
         return F.length(value).between(3, 60)
 
+    def strip(value: Column) -> Column:
+        return F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
     found = (
         docs.select(*ids, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
-        .withColumn("line", F.trim("line"))
+        .withColumn("line", strip(F.col("line")))
         .where(fits(F.col("line")))
-        .withColumn("words", F.split(F.regexp_replace("line", r"\s+", " "), " "))
+        .withColumn("words", F.split("line", tx.BLANKS))
     )
-    parts = F.transform(F.split("line", "[(),;]"), F.trim)
     starts = F.sequence(F.lit(0), F.size("words") - 1)
-    grams = [
-        F.transform(
-            F.filter(starts, lambda i, n=n: i + n <= F.size("words")),
-            lambda i, n=n: F.array_join(F.slice("words", i + 1, n), " "),
-        )
-        for n in range(1, 5)
-    ]
-    texts = F.array_distinct(F.filter(F.flatten(F.array(F.array("line"), parts, *grams)), fits))
+
+    def runs(n: int) -> Column:
+        whole = F.filter(starts, lambda i: i + n <= F.size("words"))
+        return F.transform(whole, lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+
+    parts = F.transform(F.split("line", "[(),;]"), strip)
+    texts = F.array_distinct(
+        F.filter(F.flatten(F.array(F.array("line"), parts, *[runs(n) for n in range(1, 5)])), fits)
+    )
     offered = found.select(*ids, "line_no", F.posexplode(texts).alias("place", "candidate"))
     return offered.groupBy(*ids, "candidate").agg(F.min(F.struct("line_no", "place")).alias("pos"))

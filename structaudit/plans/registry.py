@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from structaudit.plans import adjudication, evaluation
+from structaudit.plans import adjudication, evaluation, mining
 
 QUERIES, SQL = {}, {}
-for module in (adjudication, evaluation):
+for module in (adjudication, evaluation, mining):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
