@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from structaudit.plans import adjudication, evaluation, mining
+from structaudit.plans import adjudication, evaluation, mining, resolution
 
 QUERIES, SQL = {}, {}
-for module in (adjudication, evaluation, mining):
+for module in (adjudication, evaluation, mining, resolution):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
