@@ -7,6 +7,8 @@ empty string or unbalanced brackets make a fragment uncountable (NULL).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,108 +29,138 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it.
+
+    Spark does not share subexpressions inside lambda functions; a lambda variable is a value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def atom_symbols(fragment: Column) -> Column:
     """Element symbols of all written atoms, in order; NULL when the string cannot be counted."""
-    tokens = F.regexp_extract_all(fragment, F.lit(f"({ATOM})"), F.lit(1))
 
     def symbol(token: Column) -> Column:
         bare = F.when(token.startswith("["), F.regexp_extract(token, BRACKET_SYMBOL, 1)).otherwise(token)
         return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 2))
 
+    def from_tokens(tokens: Column) -> Column:
+        return F.when(F.size(tokens) > 0, F.transform(tokens, symbol))
+
     balanced = (_count(fragment, "[") == _count(fragment, "]")) & (_count(fragment, "(") == _count(fragment, ")"))
-    return F.when(balanced & (F.size(tokens) > 0), F.transform(tokens, symbol))
+    return F.when(balanced, _let(F.regexp_extract_all(fragment, F.lit(f"({ATOM})"), F.lit(1)), from_tokens))
 
 
 def fragments(smiles: Column) -> Column:
     return F.split(smiles, r"\.")
 
 
-def _sized(parts: Column) -> Column:
-    """(text, number of atoms other than hydrogen) per fragment."""
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            p.alias("text"), F.size(F.filter(atom_symbols(p), lambda s: s != "H")).alias("n")
-        ),
-    )
+def principal_fragment(smiles: Column) -> Column:
+    """The main component of a salt or solvate, or the string itself when none stands out.
 
+    A string with a fragment that cannot be counted stays whole.
+    """
 
-def principal_fragment(smiles: Column) -> Column:
-    """The main component of a salt or solvate, or the string itself when none stands out."""
-    parts = F.array_distinct(fragments(smiles))
-    sized = _sized(parts)
-    sizes = F.sort_array(F.transform(sized, lambda x: x["n"]), asc=False)
-    best, second = F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1))
-    winner = F.get(F.filter(sized, lambda x: x["n"] == best), F.lit(0))["text"]
-    countable = ~F.exists(parts, lambda p: atom_symbols(p).isNull())
-    return (
-        F.when(~smiles.contains(".") | ~countable, smiles)
-        .when(F.size(parts) == 1, F.get(parts, F.lit(0)))
-        .when((best >= MIN_PRINCIPAL_ATOMS) & (best >= PRINCIPAL_RATIO * second), winner)
-        .otherwise(smiles)
-    )
+    def choose(text: Column) -> Column:
+        sized = F.transform(
+            F.array_distinct(fragments(text)),
+            lambda p: F.struct(p.alias("text"), F.array_size(F.filter(atom_symbols(p), lambda s: s != "H")).alias("n")),
+        )
+
+        def largest(parts: Column) -> Column:
+            by_size = F.array_sort(parts, lambda a, b: b["n"] - a["n"])
+            first, second = F.get(by_size, F.lit(0)), F.get(by_size, F.lit(1))
+            stands_out = (first["n"] >= MIN_PRINCIPAL_ATOMS) & (first["n"] >= PRINCIPAL_RATIO * second["n"])
+            return (
+                F.when(F.exists(parts, lambda p: p["n"].isNull()), text)
+                .when(F.size(parts) == 1, first["text"])
+                .when(stands_out, first["text"])
+                .otherwise(text)
+            )
+
+        return _let(sized, largest)
+
+    return F.when(smiles.contains("."), _let(smiles, choose)).otherwise(smiles)
 
 
 def _formula_text(symbols: Column) -> Column:
     """Carbon first, then alphabetical; a count of one is not written."""
-    kinds = F.array_sort(F.array_distinct(symbols))
-    ordered = F.concat(F.filter(kinds, lambda s: s == "C"), F.filter(kinds, lambda s: s != "C"))
 
-    def part(kind: Column) -> Column:
-        n = F.size(F.filter(symbols, lambda s: s == kind))
-        return F.concat(kind, F.when(n > 1, n.cast("string")).otherwise(""))
+    def write(atoms: Column) -> Column:
+        kinds = F.array_sort(F.array_distinct(atoms))
+        carbon = F.array_intersect(F.array(F.lit("C")), kinds)
+
+        def part(kind: Column) -> Column:
+            n = F.size(F.filter(atoms, lambda s: s == kind))
+            return F.concat(kind, F.when(n > 1, n.cast("string")).otherwise(""))
 
-    return F.array_join(F.transform(ordered, part), "")
+        return F.array_join(F.transform(F.concat(carbon, F.array_remove(kinds, "C")), part), "")
+
+    return _let(symbols, write)
 
 
 def heavy_atom_formula(smiles: Column) -> Column:
     """Composition of the principal fragment, without implied hydrogens."""
-    return _formula_text(atom_symbols(principal_fragment(F.trim(smiles))))
+    return _formula_text(_let(principal_fragment(F.trim(smiles)), atom_symbols))
 
 
 def largest_fragment_formula(smiles: Column) -> Column:
     """Composition of the largest fragment, whatever the others are."""
-    symbols = F.filter(F.transform(fragments(F.trim(smiles)), atom_symbols), lambda s: s.isNotNull())
-    most = F.array_max(F.transform(symbols, F.size))
-    return _formula_text(F.get(F.filter(symbols, lambda s: F.size(s) == most), F.lit(0)))
+
+    def longest(lists: Column) -> Column:
+        most = F.array_max(F.transform(lists, F.size))
+        return F.get(F.filter(lists, lambda s: F.size(s) == most), F.lit(0))
+
+    return _formula_text(_let(F.array_compact(F.transform(fragments(F.trim(smiles)), atom_symbols)), longest))
 
 
 def parse_formula(formula: Column, repeated: str = "last") -> Column:
     """Map element -> count; a missing count is one. ``repeated`` elements: ``last`` or ``sum``."""
     symbols = F.regexp_extract_all(formula, F.lit(FORMULA_PART), F.lit(1))
     digits = F.regexp_extract_all(formula, F.lit(FORMULA_PART), F.lit(2))
-    counts = F.transform(digits, lambda d: F.when(d == "", 1).otherwise(F.try_to_number(d, F.lit("9999999999")).cast("long")))
-    parts = F.zip_with(symbols, counts, lambda s, n: F.struct(s.alias("symbol"), n.alias("n")))
+    zero = F.lit(0).cast("long")
 
-    def entry(symbol: Column) -> Column:
-        same = F.transform(F.filter(parts, lambda x: x["symbol"] == symbol), lambda x: x["n"])
-        total = F.aggregate(same, F.lit(0).cast("long"), lambda acc, n: acc + n)
-        return F.struct(symbol, total if repeated == "sum" else F.element_at(same, -1))
+    def part(symbol: Column, digit: Column) -> Column:
+        n = F.when(digit == "", F.lit(1).cast("long")).otherwise(digit.try_cast("long"))
+        return F.struct(symbol.alias("symbol"), n.alias("n"))
 
-    return F.map_from_entries(F.transform(F.array_distinct(symbols), entry))
+    def to_map(parts: Column) -> Column:
+        def entry(symbol: Column) -> Column:
+            same = F.transform(F.filter(parts, lambda x: x["symbol"] == symbol), lambda x: x["n"])
+            n = F.aggregate(same, zero, lambda acc, m: acc + m) if repeated == "sum" else F.element_at(same, -1)
+            return F.struct(symbol.alias("symbol"), n.alias("n"))
+
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(parts, lambda x: x["symbol"])), entry))
+
+    return _let(F.zip_with(symbols, digits, part), to_map)
 
 
 def atom_total(formula: Column) -> Column:
     """Number of atoms in a formula; NULL when there are none."""
     counts = F.map_values(parse_formula(formula, "sum"))
-    return F.nullif(F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    return F.nullif(F.aggregate(counts, zero, lambda acc, n: acc + n), zero)
 
 
 def formula_delta(reference: Column, read: Column, skip_hydrogen: bool = False) -> Column:
     """Array of (element, read minus reference), by element, differences only."""
-    have, want = parse_formula(read), parse_formula(reference)
-    elements = F.array_sort(F.array_union(F.map_keys(have), F.map_keys(want)))
-    if skip_hydrogen:
-        elements = F.filter(elements, lambda e: e != "H")
     zero = F.lit(0).cast("long")
-    deltas = F.transform(
-        elements,
-        lambda e: F.struct(
-            e.alias("element"),
-            (F.coalesce(F.try_element_at(have, e), zero) - F.coalesce(F.try_element_at(want, e), zero)).alias("delta"),
-        ),
-    )
-    return F.filter(deltas, lambda d: d["delta"] != 0)
+
+    def subtract(pair: Column) -> Column:
+        have, want = pair["have"], pair["want"]
+        elements = F.array_sort(F.array_union(F.map_keys(have), F.map_keys(want)))
+        if skip_hydrogen:
+            elements = F.array_remove(elements, "H")
+        return F.transform(
+            elements,
+            lambda e: F.struct(
+                e.alias("element"),
+                (F.coalesce(F.try_element_at(have, e), zero) - F.coalesce(F.try_element_at(want, e), zero)).alias("delta"),
+            ),
+        )
+
+    both = F.struct(parse_formula(read).alias("have"), parse_formula(reference).alias("want"))
+    return F.filter(_let(both, subtract), lambda d: d["delta"] != 0)
 
 
 def formula_delta_note(reference: Column, read: Column, skip_hydrogen: bool = False) -> Column:
@@ -147,12 +179,15 @@ def formula_delta_note(reference: Column, read: Column, skip_hydrogen: bool = Fa
 
 def hill_formula(counts: Column) -> Column:
     """Hill order of a map element -> count: C, H, then alphabetical; all alphabetical without C."""
-    kinds = F.array_sort(F.map_keys(counts))
-    first = F.array_intersect(F.array(F.lit("C"), F.lit("H")), kinds)
-    hill = F.concat(first, F.array_except(kinds, first))
-    ordered = F.when(F.array_contains(kinds, "C"), hill).otherwise(kinds)
-    part = lambda k: F.concat(k, F.when(counts[k] > 1, counts[k].cast("string")).otherwise(""))
-    return F.array_join(F.transform(ordered, part), "")
+
+    def write(table: Column) -> Column:
+        kinds = F.array_sort(F.map_keys(table))
+        first = F.array_intersect(F.array(F.lit("C"), F.lit("H")), kinds)
+        ordered = F.when(F.array_contains(kinds, "C"), F.concat(first, F.array_except(kinds, first))).otherwise(kinds)
+        part = lambda k: F.concat(k, F.when(table[k] > 1, table[k].cast("string")).otherwise(""))
+        return F.array_join(F.transform(ordered, part), "")
+
+    return _let(counts, write)
 
 
 def unreadable_marks(smiles: Column) -> Column:

@@ -6,6 +6,8 @@ content)``. Kinds: text, raster, line, curve, rect, shape, group, picture.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,28 +94,67 @@ def shape_regions(elements: DataFrame, min_shapes: int = bx.MIN_VECTOR_SHAPES) -
     )
 
 
-def _merge_until_apart(page: pd.DataFrame, gap: float) -> pd.DataFrame:
-    """Merge boxes within ``gap`` until no two are that close."""
-    edges = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
-    weight = page["weight"].to_numpy()
-    i = 0
-    while i < len(edges):
-        b = edges[i]
-        near = (
-            (edges[:, 0] - gap <= b[2]) & (b[0] - gap <= edges[:, 2])
-            & (edges[:, 1] - gap <= b[3]) & (b[1] - gap <= edges[:, 3])
-        )
-        near[i] = True
-        if near.sum() == 1:
-            i += 1
+def _merge_until_apart(edges: np.ndarray, weight: np.ndarray, gap: float, block: int = 1024):
+    """Merge the boxes of one page until no two are within ``gap``.
+
+    A round labels connected boxes with their smallest index and replaces them by their common
+    box; the larger boxes may be near others, so rounds repeat until nothing merges.
+    """
+    while True:
+        n = len(edges)
+        label = np.arange(n)
+        while True:
+            low = label.copy()
+            for start in range(0, n, block):
+                b = edges[start : start + block, None, :]
+                near = (
+                    (b[..., 0] - gap <= edges[:, 2]) & (edges[:, 0] - gap <= b[..., 2])
+                    & (b[..., 1] - gap <= edges[:, 3]) & (edges[:, 1] - gap <= b[..., 3])
+                )
+                low[start : start + block] = np.where(near, label, n).min(axis=1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        kept, where = np.unique(label, return_inverse=True)
+        if len(kept) == n:
+            return edges, weight
+        grown = edges[kept].copy()
+        np.minimum.at(grown[:, :2], where, edges[:, :2])
+        np.maximum.at(grown[:, 2:], where, edges[:, 2:])
+        edges, weight = grown, np.bincount(where, weights=weight)
+
+
+def _merge_pages(batches: Iterator[pd.DataFrame], gap: float) -> Iterator[pd.DataFrame]:
+    """Merge page by page over rows that arrive sorted by page; the last page waits for the next batch."""
+    keys, sides = ["deck", "page", "layer"], ["x0", "y0", "x1", "y1"]
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        edges, weight = rows[sides].to_numpy(dtype=float), rows["weight"].to_numpy(dtype=float)
+        starts = np.flatnonzero(_page_starts(rows, keys))
+        parts = [
+            _merge_until_apart(edges[a:b], weight[a:b], gap) for a, b in zip(starts, [*starts[1:], len(rows)])
+        ]
+        heads = rows[keys].iloc[np.repeat(starts, [len(w) for _, w in parts])].reset_index(drop=True)
+        heads[sides] = np.concatenate([e for e, _ in parts])
+        return heads.assign(weight=np.concatenate([w for _, w in parts]).astype("int64"))
+
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(rows) == 0:
             continue
-        hit = edges[near]
-        whole = np.concatenate([hit[:, :2].min(axis=0), hit[:, 2:].max(axis=0)])
-        edges = np.vstack([edges[~near], whole])
-        weight = np.append(weight[~near], weight[near].sum())
-        i = 0
-    head = page[["deck", "page", "layer"]].iloc[[0] * len(edges)].reset_index(drop=True)
-    return head.assign(x0=edges[:, 0], y0=edges[:, 1], x1=edges[:, 2], y1=edges[:, 3], weight=weight)
+        last = int(np.flatnonzero(_page_starts(rows, keys))[-1])
+        held = rows.iloc[last:].reset_index(drop=True)
+        if last:
+            yield merged(rows.iloc[:last].reset_index(drop=True))
+    if held is not None and len(held):
+        yield merged(held)
+
+
+def _page_starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    ids = rows[keys]
+    return (ids != ids.shift()).any(axis=1).to_numpy()
 
 
 def cluster_boxes(boxes: DataFrame, gap: float = bx.CLUSTER_GAP) -> DataFrame:
@@ -132,11 +173,11 @@ def cluster_boxes(boxes: DataFrame, gap: float = bx.CLUSTER_GAP) -> DataFrame:
         )
         .drop("cx", "cy")
     )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
-    columns = cells.columns
-    return cells.groupBy("deck", "page", "layer").applyInPandas(
-        lambda page: _merge_until_apart(page, gap)[columns], schema
-    )
+    keys = ["deck", "page", "layer"]
+    ordered = cells.repartition(*keys).sortWithinPartitions(*keys)
+    columns = [*keys, "x0", "y0", "x1", "y1", "weight"]
+    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in columns)
+    return ordered.select(*columns).mapInPandas(lambda batches: _merge_pages(batches, gap), schema)
 
 
 def cluster_regions(
