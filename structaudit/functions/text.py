@@ -41,8 +41,10 @@ TOKEN = r"[A-Za-z0-9(\[α-ω][A-Za-z0-9\-,'()\[\]+α-ω]*"
 HANGUL = "[가-힣]"
 # Unicode word boundaries: a particle glued to the letter means the letter is not a vitamin.
 VITAMIN_IN_LINE = r"(?U)(?:vitamins?|비타민)\s*([A-Ka-k]\d{0,2})\b"
-# A token that cleaning leaves alone, and a word whose tests can be cut short.
-CLEAN_TOKEN = r"^(?=.*[A-Za-z])[A-Za-z0-9][A-Za-z0-9\-,'()\[\]+]*[A-Za-z0-9]$"
+# On a line without brackets and Greek letters a cleaned token is a token that ends in neither a
+# comma nor a quote, has two characters and a letter.
+SPECIAL = r"[()\[\]α-ω]"
+PLAIN_TOKEN = r"(?=[0-9\-,'+]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9\-,'+]*[A-Za-z0-9\-+]"
 SIMPLE_WORD = "^[A-Z]?[a-z]+$"
 VITAMIN_HANGUL = r"^비타민\s*([A-Ka-k][0-9]{0,2})$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -169,8 +171,7 @@ def clean_token(token: Column) -> Column:
     """Token without loose punctuation and unpaired brackets; NULL when nothing name-like is left.
 
     A pair of brackets around the whole token is peeled only while the inside stays balanced;
-    then unpaired closing, then unpaired opening brackets go. Most tokens carry neither and skip
-    the peeling.
+    then unpaired closing, then unpaired opening brackets go.
     """
 
     def count(text: Column, char: Column) -> Column:
@@ -207,13 +208,14 @@ def clean_token(token: Column) -> Column:
     plain = greek_to_latin(trimmed(token))
     bracketed = plain.rlike(r"^[(\[]|[)\]]$")
     cleaned = F.when(bracketed, peel(plain)).otherwise(plain)
-    checked = F.when((F.length(cleaned) >= 2) & cleaned.rlike("[A-Za-zα-ω]"), cleaned)
-    return F.when(token.rlike(CLEAN_TOKEN), token).otherwise(checked)
+    return F.when((F.length(cleaned) >= 2) & cleaned.rlike("[A-Za-zα-ω]"), cleaned)
 
 
 def clean_tokens(line: Column) -> Column:
-    """Cleaned tokens of a line in order."""
-    return F.array_compact(F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), clean_token))
+    """Cleaned tokens of a line in order; most lines need no cleaning token by token."""
+    cleaned = F.array_compact(F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), clean_token))
+    plain = F.regexp_extract_all(line, F.lit(PLAIN_TOKEN), F.lit(0))
+    return F.when(line.rlike(SPECIAL), cleaned).otherwise(plain)
 
 
 # What one word contributes to the score of a phrase, as bits.

@@ -50,9 +50,7 @@ def _word_windows(found: DataFrame, ids: Sequence[str], max_words: int) -> DataF
     flagged = F.transform(
         tx.clean_tokens(F.col("line")), lambda w: F.struct(w.alias("w"), tx.word_flags(w).alias("f"))
     )
-    words = found.select(*ids, "part", "line_no", flagged.alias("words")).where(
-        F.exists("words", lambda x: x["f"] > tx.BAD)
-    )
+    words = found.select(*ids, "part", "line_no", flagged.alias("words"))
     window = F.transform(
         F.col("words"),
         lambda x, i: F.when(
@@ -63,7 +61,9 @@ def _word_windows(found: DataFrame, ids: Sequence[str], max_words: int) -> DataF
             ),
         ),
     )
-    return words.select(*ids, "part", "line_no", F.inline(F.array_compact(window)))
+    # Not a filter: it would be pushed below and have the words computed twice.
+    signal = F.exists("words", lambda x: x["f"] > tx.BAD)
+    return words.select(*ids, "part", "line_no", F.inline(F.when(signal, F.array_compact(window))))
 
 
 def ngrams(docs: DataFrame, ids: Sequence[str], text: str, n_max: int = 4, part: str | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ def local_session(app: str = "structaudit", cpus: int | None = None) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Generated methods above this size are never compiled by the JVM; plain iteration is faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("STRUCTAUDIT_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
