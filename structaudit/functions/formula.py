@@ -7,11 +7,11 @@ empty string or unbalanced brackets make a fragment uncountable (NULL).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from structaudit.functions.binding import let
+
 # When one fragment counts as the principal one, and when a reading is nonsense.
 MIN_PRINCIPAL_ATOMS = 6
 PRINCIPAL_RATIO = 2
@@ -29,14 +29,6 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body uses it.
-
-    Spark does not share subexpressions inside lambda functions; a lambda variable is a value.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def atom_symbols(fragment: Column) -> Column:
     """Element symbols of all written atoms, in order; NULL when the string cannot be counted."""
 
@@ -48,7 +40,7 @@ def atom_symbols(fragment: Column) -> Column:
         return F.when(F.size(tokens) > 0, F.transform(tokens, symbol))
 
     balanced = (_count(fragment, "[") == _count(fragment, "]")) & (_count(fragment, "(") == _count(fragment, ")"))
-    return F.when(balanced, _let(F.regexp_extract_all(fragment, F.lit(f"({ATOM})"), F.lit(1)), from_tokens))
+    return F.when(balanced, let(F.regexp_extract_all(fragment, F.lit(f"({ATOM})"), F.lit(1)), from_tokens))
 
 
 def fragments(smiles: Column) -> Column:
@@ -78,9 +70,9 @@ def principal_fragment(smiles: Column) -> Column:
                 .otherwise(text)
             )
 
-        return _let(sized, largest)
+        return let(sized, largest)
 
-    return F.when(smiles.contains("."), _let(smiles, choose)).otherwise(smiles)
+    return F.when(smiles.contains("."), let(smiles, choose)).otherwise(smiles)
 
 
 def _formula_text(symbols: Column) -> Column:
@@ -96,12 +88,12 @@ def _formula_text(symbols: Column) -> Column:
 
         return F.array_join(F.transform(F.concat(carbon, F.array_remove(kinds, "C")), part), "")
 
-    return _let(symbols, write)
+    return let(symbols, write)
 
 
 def heavy_atom_formula(smiles: Column) -> Column:
     """Composition of the principal fragment, without implied hydrogens."""
-    return _formula_text(_let(principal_fragment(F.trim(smiles)), atom_symbols))
+    return _formula_text(let(principal_fragment(F.trim(smiles)), atom_symbols))
 
 
 def largest_fragment_formula(smiles: Column) -> Column:
@@ -111,7 +103,7 @@ def largest_fragment_formula(smiles: Column) -> Column:
         most = F.array_max(F.transform(lists, F.size))
         return F.get(F.filter(lists, lambda s: F.size(s) == most), F.lit(0))
 
-    return _formula_text(_let(F.array_compact(F.transform(fragments(F.trim(smiles)), atom_symbols)), longest))
+    return _formula_text(let(F.array_compact(F.transform(fragments(F.trim(smiles)), atom_symbols)), longest))
 
 
 def parse_formula(formula: Column, repeated: str = "last") -> Column:
@@ -132,7 +124,7 @@ def parse_formula(formula: Column, repeated: str = "last") -> Column:
 
         return F.map_from_entries(F.transform(F.array_distinct(F.transform(parts, lambda x: x["symbol"])), entry))
 
-    return _let(F.zip_with(symbols, digits, part), to_map)
+    return let(F.zip_with(symbols, digits, part), to_map)
 
 
 def atom_total(formula: Column) -> Column:
@@ -160,7 +152,7 @@ def formula_delta(reference: Column, read: Column, skip_hydrogen: bool = False)
         )
 
     both = F.struct(parse_formula(read).alias("have"), parse_formula(reference).alias("want"))
-    return F.filter(_let(both, subtract), lambda d: d["delta"] != 0)
+    return F.filter(let(both, subtract), lambda d: d["delta"] != 0)
 
 
 def formula_delta_note(reference: Column, read: Column, skip_hydrogen: bool = False) -> Column:
@@ -187,7 +179,7 @@ def hill_formula(counts: Column) -> Column:
         part = lambda k: F.concat(k, F.when(table[k] > 1, table[k].cast("string")).otherwise(""))
         return F.array_join(F.transform(ordered, part), "")
 
-    return _let(counts, write)
+    return let(counts, write)
 
 
 def unreadable_marks(smiles: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from structaudit.functions.binding import let
+
 # The vocabulary of the candidate score and of the normal forms.
 STOPWORDS = """
 the and for with from this that what how why structure molecule chemistry figure table slide
@@ -183,8 +186,9 @@ def clean_token(token: Column) -> Column:
     def partner(bracket: Column) -> Column:
         return F.translate(bracket, "()[]", ")(][")
 
-    def repeat(text: Column, step) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), text, lambda t, _: step(t))
+    def repeat(text: Column, step: Callable[[Column], Column]) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        return F.aggregate(steps, text, lambda t, _: step(t))
 
     def unwrap(text: Column) -> Column:
         first, last = F.left(text, F.lit(1)), F.right(text, F.lit(1))
@@ -203,12 +207,18 @@ def clean_token(token: Column) -> Column:
         return F.when(loose, trimmed(F.substr(text, F.lit(2)))).otherwise(text)
 
     def peel(text: Column) -> Column:
-        return repeat(repeat(repeat(text, unwrap), drop_last), drop_first)
+        return let(repeat(text, unwrap), lambda t: let(repeat(t, drop_last), lambda u: repeat(u, drop_first)))
+
+    def spell(text: Column) -> Column:
+        return F.when(text.rlike("[α-ωμ]"), greek_to_latin(text)).otherwise(text)
+
+    def without_brackets(text: Column) -> Column:
+        return F.when(text.rlike(r"^[(\[]|[)\]]$"), peel(text)).otherwise(text)
+
+    def checked(text: Column) -> Column:
+        return F.when((F.length(text) >= 2) & text.rlike("[A-Za-zα-ω]"), text)
 
-    plain = greek_to_latin(trimmed(token))
-    bracketed = plain.rlike(r"^[(\[]|[)\]]$")
-    cleaned = F.when(bracketed, peel(plain)).otherwise(plain)
-    return F.when((F.length(cleaned) >= 2) & cleaned.rlike("[A-Za-zα-ω]"), cleaned)
+    return let(spell(trimmed(token)), lambda plain: let(without_brackets(plain), checked))
 
 
 def clean_tokens(line: Column) -> Column:

@@ -69,10 +69,14 @@ def near_names(strings: DataFrame, names: DataFrame, max_ratio: float) -> DataFr
         .withColumn("edits", F.expr(edits % "name_chars"))
         .select("name_norm", "name_chars", F.expr(f"inline({_pieces('name_norm', 'edits')})"))
     )
-    widest = f"cast(floor({max_ratio} / (1 - {max_ratio}) * n + 1e-9) as int)"
+    # Only lengths that some name has are probed; there are few of them.
+    lengths = names.select(F.length("name_norm").alias("name_chars")).distinct()
+    reach = edits % "n"
+    piece = "substr(norm, at + 1, size)"
     probes = (
         strings.withColumn("n", F.length("norm"))
-        .withColumn("name_chars", F.expr(f"explode(sequence(greatest(1, n - {widest}), n + {widest}))"))
+        .withColumn("name_chars", F.expr(f"explode(sequence(greatest(1, n - {reach}), n + {reach}))"))
+        .join(lengths, "name_chars")
         .withColumn("edits", F.expr(edits % "name_chars"))
         .where("abs(n - name_chars) <= edits")
         .withColumn("piece_no", F.expr("explode(sequence(0, edits))"))
@@ -84,9 +88,10 @@ def near_names(strings: DataFrame, names: DataFrame, max_ratio: float) -> DataFr
             "high", F.expr("least(n - size, start + piece_no, start + n - name_chars + (edits - piece_no))")
         )
         .where("low <= high")
-        .withColumn("at", F.expr("explode(sequence(low, high))"))
-        .select("norm", "name_chars", "piece_no", F.expr("substr(norm, at + 1, size)").alias("piece"))
-        .distinct()
+        .select(
+            "norm", "name_chars", "piece_no",
+            F.expr(f"explode(array_distinct(transform(sequence(low, high), at -> {piece})))").alias("piece"),
+        )
     )
     longer = F.greatest(F.length("norm"), F.length("name_norm"))
     return (

@@ -217,7 +217,7 @@ label_cands as (
 
 
 def label_text(spark, sf):
-    return d.table(spark, sf, "pages").select(
+    return d.spread(d.table(spark, sf, "pages")).select(
         "page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text")
     )
 

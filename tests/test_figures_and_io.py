@@ -155,7 +155,7 @@ def test_replay_round_trip(spark, tmp_path):
     assert nested.where("index = 1").count() == 3 and nested.agg(F.max(F.size("reads"))).first()[0] == 2
     writers.write_replay(reads, items, str(tmp_path / "r"))
     got = readers.read_replay(spark, str(tmp_path / "r/items")).orderBy("item_id", "read_no").collect()
-    assert [(r.item_id, r.read_no, r.raw) for r in got] == [(1, n, f"raw{n}") for n in range(5)] + [(2, 0, "x"), (3, 0, None)]
+    assert [(r.item_id, r.read_no, r.raw) for r in got] == [(1, n, f"raw{n}") for n in range(5)] + [(2, 0, "x"), (3, None, None)]
     assert got[0].confidence is None and got[1].confidence == 0.1
 
 
