@@ -247,37 +247,37 @@ def word_flags(word: Column) -> Column:
     Ordinary prose dominates, so the tests are ordered by what they can skip: a disqualified
     word needs no other bit, and a word of plain letters cannot carry digits or hyphens.
     """
-    low = F.lower(word)
-    core = F.btrim(low, F.lit("()[]"))
-
     def bits(tests: dict[int, Column]) -> Column:
         return reduce(lambda acc, kv: acc + F.when(kv[1], kv[0]).otherwise(0), tests.items(), F.lit(0))
 
-    fragment = low.rlike("|".join(FRAGMENTS))
-    simple = {
-        SUFFIX: low.rlike(f"(?:{'|'.join(SUFFIXES)}|^acid)$"),
-        FRAGMENT: fragment,
-        BARE_BIT: low.isin(BARE),
-        CAPITAL: (F.length(word) >= 5) & (F.left(word, F.lit(1)) < "a"),
-        VITAMIN: low.isin("vitamin", "vitamins"),
-    }
-    full = {
-        SUFFIX: core.rlike(f"(?i)(?:{'|'.join(SUFFIXES)})$|^(?:{STEREO})?acid$"),
-        STEREO_BIT: word.rlike(f"(?i)^{STEREO}"),
-        LOCANT_BIT: low.rlike(LOCANT),
-        FRAGMENT: fragment,
-        CAPITAL: (F.length(word) >= 5) & word.rlike("^[A-Z]") & ~word.contains("-"),
-        ABBREVIATION: word.rlike("^[A-Za-z]{2,6}$") & word.rlike("[A-Z].*[A-Z]"),
-        BARE_BIT: low.isin(BARE),
-        VITAMIN: low.isin("vitamin", "vitamins"),
-        VITAMIN_LETTER: low.rlike("^[a-k][0-9]{0,2}$"),
-    }
-    return (
-        F.when(low.isin(STOPWORDS + NOISE), BAD)
-        .when(word.rlike(SIMPLE_WORD), bits(simple))
-        .when(is_bad_word(word), BAD)
-        .otherwise(bits(full))
-    )
+    def graded(low: Column) -> Column:
+        shared = {
+            FRAGMENT: low.rlike("|".join(FRAGMENTS)),
+            BARE_BIT: low.isin(BARE),
+            VITAMIN: low.isin("vitamin", "vitamins"),
+        }
+        simple = {
+            **shared,
+            SUFFIX: low.rlike(f"(?:{'|'.join(SUFFIXES)}|^acid)$"),
+            CAPITAL: (F.length(word) >= 5) & (word < "a"),
+        }
+        full = {
+            **shared,
+            SUFFIX: F.btrim(low, F.lit("()[]")).rlike(f"(?i)(?:{'|'.join(SUFFIXES)})$|^(?:{STEREO})?acid$"),
+            STEREO_BIT: word.rlike(f"(?i)^{STEREO}"),
+            LOCANT_BIT: low.rlike(LOCANT),
+            CAPITAL: (F.length(word) >= 5) & word.rlike("^[A-Z]") & ~word.contains("-"),
+            ABBREVIATION: word.rlike("^[A-Za-z]{2,6}$") & word.rlike("[A-Z].*[A-Z]"),
+            VITAMIN_LETTER: low.rlike("^[a-k][0-9]{0,2}$"),
+        }
+        return (
+            F.when(low.isin(STOPWORDS + NOISE), BAD)
+            .when(word.rlike(SIMPLE_WORD), bits(simple))
+            .when(is_bad_word(word), BAD)
+            .otherwise(bits(full))
+        )
+
+    return let(F.lower(word), graded)
 
 
 def flags_score(flags: list[Column]) -> Column:
