@@ -44,7 +44,7 @@ def page_figures(pictures: DataFrame) -> DataFrame:
     kept = pictures.where(bx.keep_image(F.col("n_bytes"), F.col("px_w"), F.col("px_h"))).select(
         "deck", "page", "pos", F.sha2("content", 256).alias("digest")
     )
-    named = numbered(kept, ["deck", "page"], [F.asc("pos")], "number")
+    named = numbered(kept, ["deck", "page"], [F.asc("pos")], "number", sized_by=pictures)
     return (
         named.groupBy("deck", "digest", "page")
         .agg(F.min(F.struct("pos", "number")).alias("first"))
@@ -198,4 +198,4 @@ def cluster_regions(
     side = F.struct("x0", "y0", "x1", "y1")
     kept = grown.where(bx.big_enough(side, min_side) & ((F.col("layer") == "raster") | (F.col("weight") >= min_points)))
     order = [F.asc(c) for c in ("x0", "y0", "x1", "y1", "layer")]
-    return numbered(kept, ["deck", "page"], order, "region_no")
+    return numbered(kept, ["deck", "page"], order, "region_no", sized_by=drawn)

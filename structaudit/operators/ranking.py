@@ -38,12 +38,14 @@ def running_total(
     weight: Column,
     name: str,
     max_rows: int = MAX_WINDOW_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` over the group's rows up to and including this one.
 
-    ``order`` must be total within a group.
+    ``order`` must be total within a group. Group sizes are measured on ``sized_by`` where a
+    table is at hand whose groups are at least as large and cheaper to count.
     """
-    if largest_group(df, keys) <= max_rows:
+    if largest_group(df if sized_by is None else sized_by, keys) <= max_rows:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(weight).over(upto))
     # The slice number is stored with the rows: both uses below must see the same slices.
@@ -67,10 +69,16 @@ def running_total(
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, max_rows: int = MAX_WINDOW_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    max_rows: int = MAX_WINDOW_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Row number from 1 within each group, for groups of any size."""
-    return running_total(df, keys, order, F.lit(1), name, max_rows).withColumn(name, F.col(name).cast("int"))
+    rows = running_total(df, keys, order, F.lit(1), name, max_rows, sized_by)
+    return rows.withColumn(name, F.col(name).cast("int"))
 
 
 def systematic_sample(df: DataFrame, order: Sequence[Column], k: int, max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
