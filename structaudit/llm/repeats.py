@@ -27,6 +27,7 @@ from structaudit.llm.common import checkpointed, slices, text_rows
 
 LENGTH, ANCHOR = 200, 32
 WIDTH = LENGTH - ANCHOR + 1
+SHIFT = 256  # above the windows of a segment, WIDTH at most
 #: Bytes of text looked at together, and bytes of segments in one block.
 TEXT_BYTES, BLOCK_BYTES = 4_000_000, 1_500_000
 #: Anchors with more different segments than this are cut into single windows instead.
@@ -83,7 +84,7 @@ def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def segments_of(docs: DataFrame) -> DataFrame:
-    """(key, seg, t1, t2, lo, n): a segment's anchor and content, its text, first window, windows."""
+    """(key, seg, t1, t2, at): a segment's anchor and content, its text, and SHIFT * first window + windows."""
 
     def run(batches):
         for batch in batches:
@@ -99,12 +100,12 @@ def segments_of(docs: DataFrame) -> DataFrame:
                     (digest(raw[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)), np.uint64, len(first)
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key.view(np.int64), seg.view(np.int64), t1[text + i], t2[text + i], first - starts[text], last - first + 1)],
-                    ["key", "seg", "t1", "t2", "lo", "n"],
+                    [pa.array(x) for x in (key.view(np.int64), seg.view(np.int64), t1[text + i], t2[text + i], (first - starts[text]) * SHIFT + last - first + 1)],
+                    ["key", "seg", "t1", "t2", "at"],
                 )
 
     return docs.select("t1", "t2", F.col("text").cast("binary")).where(F.octet_length("text") >= LENGTH).mapInArrow(
-        run, "key bigint, seg bigint, t1 bigint, t2 bigint, lo bigint, n bigint"
+        run, "key bigint, seg bigint, t1 bigint, t2 bigint, at bigint"
     )
 
 
@@ -205,58 +206,71 @@ def runs_of(mask: np.ndarray) -> list[int]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(t1, t2, found): for each text, by its two hashes, the window runs that occur elsewhere too."""
     occurrences = segments_of(docs)
-    segments = occurrences.groupBy("key", "seg").agg(
-        F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "lo", "n")).alias("at")
-    )
-    segments = checkpointed(segments.select("key", "seg", "copies", "at.*"))
-    keys = segments.groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("different")).where("total > 1")
-    wanted = checkpointed(segments.join(keys.select("key", "different"), "key"))
-    size = wanted.agg(F.sum(F.col("n") + LENGTH).alias("b")).first()["b"] or 0
-
-    by_text = wanted.select("t1", "t2", F.struct("lo", "n", "key", "seg", "copies", "different").alias("s"))
-    # The segments of one text overlap by less than a window's length, so the list is bounded by the text.
-    by_text = by_text.groupBy("t1", "t2").agg(F.collect_list("s").alias("cut"))
-    texts = docs.select("t1", "t2", F.col("text").cast("binary").alias("text"))
-    schema = "key bigint, seg bigint, copies bigint, different bigint, body binary"
-    bodies = by_text.join(texts, ["t1", "t2"]).select("cut", "text").mapInArrow(_cutter, schema)
-    bodies = bodies.dropDuplicates(["key", "seg"])
+    # Anchors met once go before anything else is kept; most of a text's do.
+    keys = occurrences.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    again = checkpointed(occurrences.join(keys, "key"))
+    segments = again.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "at")).alias("first"))
+    wanted = checkpointed(segments.select("key", "seg", "copies", "first.*"))
+    different = wanted.groupBy("key").agg(F.count("*").alias("different"))
+    size = wanted.agg(F.sum(F.col("at") % SHIFT + LENGTH).alias("b")).first()["b"] or 0
 
     blocks = max(1, -(-size // BLOCK_BYTES))
-    few = bodies.where(F.col("different") <= SEGMENTS).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    counted_keys = wanted.join(different, "key")
+    few = _bodies(docs, counted_keys.where(F.col("different") <= SEGMENTS))
+    few = few.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     marked = few.groupBy("block").applyInArrow(_expanded, "key bigint, seg bigint, found array<bigint>")
     # Anchors in very many segments: their windows are counted one by one.
-    single = bodies.where(F.col("different") > SEGMENTS).mapInArrow(
-        _single_windows, "key bigint, seg bigint, w bigint, copies bigint, h1 bigint, h2 bigint"
-    )
+    many = _bodies(docs, counted_keys.where(F.col("different") > SEGMENTS)).dropDuplicates(["key", "seg"])
+    single = many.mapInArrow(_single_windows, "key bigint, seg bigint, w bigint, copies bigint, h1 bigint, h2 bigint")
     often = single.groupBy("h1", "h2").agg(F.sum("copies").alias("total")).where("total > 1").select("h1", "h2")
     counted = single.join(often, ["h1", "h2"]).groupBy("key", "seg").agg(
         F.flatten(F.sort_array(F.collect_set(F.array("w", F.col("w") + 1)))).alias("found")
     )
     marks = marked.where(F.size("found") > 0).union(counted)
-    met = occurrences.select("key", "seg", "t1", "t2", "lo").join(marks, ["key", "seg"])
-    return met.select("t1", "t2", F.struct("lo", "found").alias("m")).groupBy("t1", "t2").agg(F.collect_set("m").alias("found"))
+    met = again.join(marks, ["key", "seg"])
+    place = F.floor(F.col("at") / SHIFT).alias("lo")
+    return met.select("t1", "t2", F.struct(place, "found").alias("m")).groupBy("t1", "t2").agg(F.collect_set("m").alias("found"))
+
+
+def _bodies(docs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The bytes of each segment, from one of the rows that hold its text; a few may come twice."""
+    # The segments of one text overlap by less than a window's length, so the list is bounded by the text.
+    by_text = segments.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "key", "seg", "copies")).alias("cut"))
+    # All columns of docs go along: the shuffle of the texts is then the one that the answers use as well.
+    met = docs.join(by_text, ["t1", "t2"]).select("doc_id", "t1", "t2", "cut", F.col("text").cast("binary").alias("text"))
+    return met.mapInArrow(_cutter, "key bigint, seg bigint, copies bigint, body binary")
 
 
 def _cutter(batches):
+    seen: set[tuple[int, int]] = set()  # copies follow each other; the list is only kept short
     for batch in batches:
-        rows = [
-            (s["key"], s["seg"], s["copies"], s["different"], text[s["lo"] : s["lo"] + s["n"] - 1 + LENGTH])
-            for cut, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in cut
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [pa.array([r[4] for r in rows], pa.binary())],
-            ["key", "seg", "copies", "different", "body"],
-        )
+        rows = []
+        for t1, t2, cut, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            if (t1, t2) in seen:
+                continue
+            seen.add((t1, t2))
+            for s in cut:
+                lo, n = divmod(s["at"], SHIFT)
+                rows.append((s["key"], s["seg"], s["copies"], text[lo : lo + n - 1 + LENGTH]))
+        if len(seen) > 50_000:
+            seen.clear()
+        for i, j in slices([len(r[3]) for r in rows], TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows[i:j]], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows[i:j]], pa.binary())],
+                ["key", "seg", "copies", "body"],
+            )
 
 
 def _expanded(group: pa.Table) -> pa.Table:
+    names = list(zip(group["key"].to_pylist(), group["seg"].to_pylist(), strict=True))
+    group = group.take(pa.array(list(dict(zip(names[::-1], range(len(names))[::-1], strict=True)).values())))
     masks = repeated_windows(group["body"].to_pylist(), group["copies"].to_numpy())
     return pa.table({"key": group["key"], "seg": group["seg"], "found": pa.array([runs_of(m) for m in masks], pa.list_(pa.int64()))})
 
 
 def _single_windows(batches):
     for batch in batches:
-        keys, segs, copies, bodies = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+        keys, segs, copies, bodies = (batch.column(i).to_pylist() for i in range(4))
         for i, j in slices([len(b) for b in bodies], TEXT_BYTES // 16):
             rows = [(k, s, w, c, xxhash.xxh3_128_intdigest(b[w : w + LENGTH])) for k, s, c, b in zip(keys[i:j], segs[i:j], copies[i:j], bodies[i:j], strict=True) for w in range(len(b) - LENGTH + 1)]
             half = [np.array([r[4] >> k & (1 << 64) - 1 for r in rows], np.uint64).view(np.int64) for k in (0, 64)]
