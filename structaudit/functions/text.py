@@ -143,12 +143,17 @@ def _first_of_each(values: Column) -> Column:
     return F.filter(kept, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
 
 
+def strip(value: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def spelling_variants(name: Column) -> Column:
     """Spellings to try in order, each saying a little less than the one before."""
     plain = greek_to_latin(fold_dashes(name))
-    stripped = strip_stereo_prefix(F.trim(plain))
+    stripped = strip_stereo_prefix(strip(plain))
     tried = F.array(
-        name, plain, expand_abbreviation(plain), F.when(stripped != F.trim(plain), stripped)
+        name, plain, expand_abbreviation(plain), F.when(stripped != strip(plain), stripped)
     )
     return _first_of_each(F.transform(F.array_compact(tried), collapse_blanks))
 
@@ -260,6 +265,7 @@ def word_flags(word: Column) -> Column:
             **shared,
             SUFFIX: low.rlike(f"(?:{'|'.join(SUFFIXES)}|^acid)$"),
             CAPITAL: (F.length(word) >= 5) & (word < "a"),
+            VITAMIN_LETTER: low.rlike("^[a-k]$"),
         }
         full = {
             **shared,
@@ -306,17 +312,32 @@ def flags_score(flags: list[Column]) -> Column:
     return F.when(~disqualified, score)
 
 
-def candidate_score(phrase: Column, max_words: int = 4) -> Column:
-    """Score of a phrase given as text: how likely it is a name, -1 when it is none.
+def candidate_score(phrase: Column) -> Column:
+    """Score of a phrase given as text, of any number of words: how likely it is a name, -1 when it is none."""
 
-    Phrases longer than ``max_words`` words are outside what the miner produces.
-    """
-    words = F.split(collapse_blanks(phrase), " ")
-    result = F.lit(None).cast("double")
-    for n in range(1, max_words + 1):
-        flags = [word_flags(F.get(words, F.lit(i))) for i in range(n)]
-        result = F.when(F.size(words) == n, flags_score(flags)).otherwise(result)
-    return F.coalesce(result, F.lit(-1.0))
+    def has(value: Column, bit: int) -> Column:
+        return value.bitwiseAND(bit) > 0
+
+    def scored(flags: Column) -> Column:
+        n, first, last = F.size(flags), F.get(flags, F.lit(0)), F.element_at(flags, -1)
+
+        def from_all(any_of: Column) -> Column:
+            bonus = lambda test, points: F.when(test, points).otherwise(0.0)
+            value = (
+                bonus(has(last, SUFFIX), 3.0) + bonus(has(first.bitwiseOR(last), STEREO_BIT), 2.0)
+                + bonus(has(any_of, LOCANT_BIT), 2.0) + bonus(has(any_of, FRAGMENT), 2.0)
+                + bonus((n == 1) & has(first, CAPITAL), 1.0) + bonus((n == 1) & has(first, ABBREVIATION), 0.5)
+            )
+            disqualified = has(any_of, BAD) | ((n == 1) & has(first, BARE_BIT))
+            vitamin = (n == 2) & has(first, VITAMIN) & has(last, VITAMIN_LETTER)
+            whole = let(value, lambda v: F.when(v > 0, v + F.least(n, F.lit(4)) * 0.5).otherwise(-1.0))
+            return F.when(disqualified, -1.0).when(vitamin, 4.0).otherwise(whole)
+
+        return let(F.aggregate(flags, F.lit(0), lambda a, b: a.bitwiseOR(b)), from_all)
+
+    words = F.filter(F.split(collapse_blanks(phrase), " "), lambda w: w != "")
+    some = let(F.transform(words, word_flags), lambda flags: F.when(F.size(flags) > 0, scored(flags)))
+    return F.coalesce(some, F.lit(-1.0))
 
 
 def is_noise(phrase: Column) -> Column:

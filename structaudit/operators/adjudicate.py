@@ -341,7 +341,8 @@ def check_response(judged: DataFrame) -> DataFrame:
             F.nullif("ref_formula", F.lit("")).alias("formula"),
         ),
     )
-    valid_key = F.when(F.col("rule") != "not_a_structure", F.col("primary.inchikey"))
+    # Without a valid reading the primary one is only what was seen; its key says nothing.
+    valid_key = F.when(_valid(F.col("primary")), F.col("primary.inchikey"))
     body = F.struct(
         "verdict",
         "grade",
@@ -354,4 +355,4 @@ def check_response(judged: DataFrame) -> DataFrame:
         ).alias("read"),
         "reasons",
     )
-    return judged.select("request_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+    return judged.select("request_id", "verdict", "grade", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))

@@ -114,8 +114,8 @@ def agreement(reads: DataFrame) -> DataFrame:
         (F.min("low_key") != F.max("high_key")).alias("stereo_differs"),
     )
     order = [F.desc("n_families"), F.desc(F.coalesce("confidence", F.lit(-1.0))), F.asc("first_no")]
-    # An item has no more candidates than readings.
-    return numbered(candidates, ["item_id"], order, "rank", sized_by=reads)
+    ahead = F.struct(-F.col("n_families"), -F.coalesce("confidence", F.lit(-1.0)))
+    return numbered(candidates, ["item_id"], order, "rank", [ahead])
 
 
 def candidate_contrasts(candidates: DataFrame) -> DataFrame:

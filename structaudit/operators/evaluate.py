@@ -231,7 +231,7 @@ def confidence_separation(reads: DataFrame, items: DataFrame) -> DataFrame:
     total = scored.groupBy("family", "right").agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total")
     )
-    upto = running_total(scored, ["family", "right"], [F.asc("value")], F.col("n"), "upto")
+    upto = running_total(scored, ["family", "right"], [F.asc("value")], F.col("n"), "upto", [F.floor(F.col("value") * 1000)])
     median = (
         upto.join(total.select("family", "right", "total"), ["family", "right"])
         .where("upto > total div 2")

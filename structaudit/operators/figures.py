@@ -14,25 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structaudit.functions import boxes as bx
+from structaudit.functions.text import strip
 from structaudit.operators.ranking import numbered
 
-PIECES_PER_ROW = 1024
 
+def page_text(elements: DataFrame) -> DataFrame:
+    """Text of each page: its stripped, non-empty pieces, one row each; ``part`` is their order.
 
-def page_text(elements: DataFrame, pieces_per_row: int = PIECES_PER_ROW) -> DataFrame:
-    """Text of each page: stripped, non-empty pieces in order, joined by line breaks.
-
-    A page is stored in parts of ``pieces_per_row`` consecutive positions, so that no row holds an
-    unbounded page; the miner takes ``part`` along. An ordinary page has part 0 only.
+    The page's text is the parts in order with a line break between two; it stays in rows, so a page of any
+    length is no single value. The miner takes ``part`` along.
     """
-    piece = F.struct("pos", F.trim("text").alias("text"))
-    return (
-        elements.where("trim(text) <> ''")
-        .withColumn("part", F.floor(F.col("pos") / pieces_per_row).cast("int"))
-        .groupBy("deck", "page", "part")
-        .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-        .select("deck", "page", "part", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n").alias("text"))
-    )
+    text = strip(F.col("text"))
+    return elements.where(text != "").select("deck", "page", F.col("pos").alias("part"), text.alias("text"))
 
 
 def page_figures(pictures: DataFrame) -> DataFrame:
@@ -44,7 +37,7 @@ def page_figures(pictures: DataFrame) -> DataFrame:
     kept = pictures.where(bx.keep_image(F.col("n_bytes"), F.col("px_w"), F.col("px_h"))).select(
         "deck", "page", "pos", F.sha2("content", 256).alias("digest")
     )
-    named = numbered(kept, ["deck", "page"], [F.asc("pos")], "number", sized_by=pictures)
+    named = numbered(kept, ["deck", "page"], [F.asc("pos")], "number", [F.floor(F.col("pos") / 4096)])
     return (
         named.groupBy("deck", "digest", "page")
         .agg(F.min(F.struct("pos", "number")).alias("first"))
@@ -77,7 +70,7 @@ def shape_regions(elements: DataFrame, min_shapes: int = bx.MIN_VECTOR_SHAPES) -
 
     Grouped shapes use the box of their group (a ``group`` row); loose ones the union of theirs.
     """
-    shape = (F.col("kind") == "shape") & (F.coalesce(F.trim("text"), F.lit("")) == "")
+    shape = (F.col("kind") == "shape") & (F.coalesce(strip(F.col("text")), F.lit("")) == "")
     loose = F.col("group_id").isNull()
     outline = F.col("kind") == "group"
     used = elements.where(shape | outline)
@@ -198,4 +191,5 @@ def cluster_regions(
     side = F.struct("x0", "y0", "x1", "y1")
     kept = grown.where(bx.big_enough(side, min_side) & ((F.col("layer") == "raster") | (F.col("weight") >= min_points)))
     order = [F.asc(c) for c in ("x0", "y0", "x1", "y1", "layer")]
-    return numbered(kept, ["deck", "page"], order, "region_no", sized_by=drawn)
+    # Regions of a layer are 40 points wide and 12 apart, so a page holds a few hundred at most.
+    return numbered(kept, ["deck", "page"], order, "region_no")

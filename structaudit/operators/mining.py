@@ -181,12 +181,9 @@ def label_text_candidates(docs: DataFrame, ids: Sequence[str], text: str) -> Dat
     def fits(value: Column) -> Column:
         return F.length(value).between(3, 60)
 
-    def strip(value: Column) -> Column:
-        return F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-
     found = (
         docs.select(*ids, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
-        .withColumn("line", strip(F.col("line")))
+        .withColumn("line", tx.strip(F.col("line")))
         .where(fits(F.col("line")))
         .withColumn("words", F.split("line", tx.BLANKS))
     )
@@ -196,7 +193,7 @@ def label_text_candidates(docs: DataFrame, ids: Sequence[str], text: str) -> Dat
         whole = F.filter(starts, lambda i: i + n <= F.size("words"))
         return F.transform(whole, lambda i: F.array_join(F.slice("words", i + 1, n), " "))
 
-    parts = F.transform(F.split("line", "[(),;]"), strip)
+    parts = F.transform(F.split("line", "[(),;]"), tx.strip)
     texts = F.array_distinct(
         F.filter(F.flatten(F.array(F.array("line"), parts, *[runs(n) for n in range(1, 5)])), fits)
     )

@@ -1,9 +1,9 @@
 """Numbering rows inside groups of any size.
 
 ``row_number() <= k`` needs no help: Spark limits each group on the map side first. A full
-numbering does, because a plain window sends a whole group to one task. ``numbered`` measures
-the largest group and, when it is too large, sorts by range instead: every range partition
-numbers its own slice, and the slice sizes give the offsets.
+numbering does, because a plain window sends a whole group to one task. Where groups can be large the
+caller names slices: values that grow with the order. Rows are numbered inside their slice, and the
+totals of the slices before, of which there is one row each, are added. It is one plan at any size.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structaudit.session import cut_lineage
-
-MAX_WINDOW_ROWS = 1_000_000
-
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every group, numbered from 1."""
@@ -24,70 +20,46 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(within)).where(F.col(rank) <= k)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group; the counts are combined on the map side."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    weight: Column,
-    name: str,
-    max_rows: int = MAX_WINDOW_ROWS,
-    sized_by: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column, name: str, slices: Sequence[Column] = ()
 ) -> DataFrame:
     """Sum of ``weight`` over the group's rows up to and including this one.
 
-    ``order`` must be total within a group. Group sizes are measured on ``sized_by`` where a
-    table is at hand whose groups are at least as large and cheaper to count.
+    ``order`` must be total within a group. ``slices`` are values that never fall along the order, the
+    finest first; each further one numbers the slices of the one before. Without any, a group
+    is one window: that is for groups that are small by their nature.
     """
-    if largest_group(df if sized_by is None else sized_by, keys) <= max_rows:
+    if not slices:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(weight).over(upto))
-    # The slice number is stored with the rows: both uses below must see the same slices.
-    sliced = cut_lineage(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id())
-    )
-    slice_keys = [*keys, "_slice"]
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*slice_keys)
-        .agg(F.sum(weight).alias("_n"))
-        .select(*slice_keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    upto = Window.partitionBy(*slice_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        sliced.withColumn("_local", F.sum(weight).over(upto))
-        .join(offsets, slice_keys)
-        .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_slice", "_local", "_offset")
+    levels = [f"_slice{len(slices)}_{i}" for i in range(len(slices))]
+    sliced = df.withColumns({"_weight": weight, **dict(zip(levels, slices))})
+    totals = sliced.groupBy(*keys, *levels).agg(F.sum("_weight").alias("_total"))
+    before = running_total(totals, keys, [F.asc(levels[0])], F.col("_total"), "_upto", [F.col(c) for c in levels[1:]])
+    offsets = before.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(levels[0]).alias("_at"), (F.col("_upto") - F.col("_total")).alias("_offset")
     )
+    upto = Window.partitionBy(*keys, levels[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.withColumn("_local", F.sum("_weight").over(upto))
+    same = F.col(levels[0]).eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return inside.join(offsets, same).withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
 
 
-def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    max_rows: int = MAX_WINDOW_ROWS,
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
-    """Row number from 1 within each group, for groups of any size."""
-    rows = running_total(df, keys, order, F.lit(1), name, max_rows, sized_by)
-    return rows.withColumn(name, F.col(name).cast("int"))
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, slices: Sequence[Column] = ()) -> DataFrame:
+    """Row number from 1 within each group, as a bigint; see :func:`running_total` for ``slices``."""
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, slices)
 
 
-def systematic_sample(df: DataFrame, order: Sequence[Column], k: int, max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def systematic_sample(df: DataFrame, order: Sequence[Column], k: int, slices: Sequence[Column]) -> DataFrame:
     """``k`` rows spread evenly over the order; all rows when ``k`` is not below the total.
 
-    Row i (from 1) is picked when it equals ``int(j * n / k) + 1`` for some j in 0..k-1.
+    Row i (from 1) is picked when it equals ``int(j * n / k) + 1`` for some j in 0..k-1. ``slices``
+    as in :func:`running_total`; the coarsest should leave few enough for one task to add up.
     """
     n = df.count()
     if k <= 0 or k >= n:
         return df
-    picks = df.sparkSession.range(k).select((F.floor(F.col("id") * F.lit(n / k)) + 1).cast("int").alias("_row"))
-    return numbered(df, [], order, "_row", max_rows).join(picks, "_row", "left_semi").drop("_row")
+    picks = df.sparkSession.range(k).select((F.floor(F.col("id") * F.lit(n / k)) + 1).cast("bigint").alias("_row"))
+    return numbered(df, [], order, "_row", slices).join(picks, "_row", "left_semi").drop("_row")

@@ -296,7 +296,7 @@ def page_items(spark, sf):
     "items_with_page_references",
     """select o.item_id, o.deck, o.page, s.ref_no, s.inchikey from o left join
     (select deck, page, row_number() over (partition by deck, page order by inchikey) - 1 as ref_no, inchikey
-     from (select distinct deck, page, ref_key as inchikey from o join items using (item_id) where items.truth <> 'same')
+     from (select distinct deck, page, ref_key as inchikey from o join items using (item_id))
      qualify ref_no < 3) s using (deck, page)""",
     READS_SQL, PAGE_SQL,
 )
@@ -304,7 +304,7 @@ def items_with_page_references(spark, sf):
     from structaudit.operators.ranking import top_k
 
     pages = page_items(spark, sf)
-    keys = d.items(spark, sf).where("truth <> 'same'").select("item_id", F.col("ref_key").alias("inchikey"))
+    keys = d.items(spark, sf).select("item_id", F.col("ref_key").alias("inchikey"))
     distinct = pages.join(keys, "item_id").select("deck", "page", "inchikey").distinct()
     refs = top_k(distinct, ["deck", "page"], [F.asc("inchikey")], 3, "ref_no").withColumn("ref_no", F.col("ref_no") - 1)
     return lb.pair_items(pages, refs, ["deck", "page"])

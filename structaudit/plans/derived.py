@@ -16,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table that has fewer files than the session has cores out to all of them.
-
-    A large table has splits for every core and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def enc(value: str, n: int, text: str) -> str:
     """SQL: ``n`` capital letters that stand for a value."""
     return f"upper(translate(substr(md5(cast({value} as {text})), 1, {n}), '0123456789abcdef', 'ABCDEFGHIJKLMNOP'))"

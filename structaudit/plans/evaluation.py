@@ -418,4 +418,4 @@ def page_funnel(spark, sf):
     READS_SQL,
 )
 def sample_of_items(spark, sf):
-    return systematic_sample(d.items(spark, sf).select("item_id", "truth"), [F.asc("item_id")], 1000)
+    return systematic_sample(d.items(spark, sf).select("item_id", "truth"), [F.asc("item_id")], 1000, [F.floor(F.col("item_id") / 1000), F.floor(F.col("item_id") / 1_000_000)])

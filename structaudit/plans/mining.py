@@ -46,7 +46,7 @@ DOCS_SQL = f"docs as (select doc_id, {CHEM.replace('{text}', 'varchar')} as text
 
 
 def docs(spark, sf):
-    return d.spread(d.table(spark, sf, "documents")).select("doc_id", F.expr(CHEM.replace('{text}', 'string')).alias("text"))
+    return d.table(spark, sf, "documents").select("doc_id", F.expr(CHEM.replace('{text}', 'string')).alias("text"))
 
 
 def _peel(expr: str) -> str:
@@ -217,7 +217,7 @@ label_cands as (
 
 
 def label_text(spark, sf):
-    return d.spread(d.table(spark, sf, "pages")).select(
+    return d.table(spark, sf, "pages").select(
         "page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text")
     )
 

@@ -26,14 +26,16 @@ def query(name, sql=None, *ctes):
 
 @query(
     "page_text",
-    """select conv_id % 10 as deck, conv_id as page, turn // 4 as part, string_agg(trim(text), chr(10) order by turn) as text
-    from conversations where trim(text) <> '' group by 1, 2, 3""",
+    """select conv_id % 10 as deck, conv_id as page, turn as part, regexp_replace(t, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as text
+    from (select *, case when turn % 3 = 2 then chr(10) || chr(9) else chr(10) || ' ' || text || chr(9) || chr(10) end as t from conversations)
+    where regexp_replace(t, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> ''""",
 )
 def page_text(spark, sf):
     elements = d.table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 10).alias("deck"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), "text"
+        (F.col("conv_id") % 10).alias("deck"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"),
+        F.when(F.col("turn") % 3 == 2, "\n\t").otherwise(F.concat(F.lit("\n "), "text", F.lit("\t\n"))).alias("text"),
     )
-    return fg.page_text(elements, pieces_per_row=4)
+    return fg.page_text(elements)
 
 
 PICTURES_SQL = """
@@ -120,7 +122,7 @@ SHAPES_SQL = """
 shapes as (select cast(l_orderkey % 9 as int) as deck, cast(floor(l_orderkey / 18) as int) as page,
              case when l_orderkey % 3 = 0 then null else cast(l_orderkey as varchar) end as group_id,
              case when l_linenumber = 1 and l_orderkey % 3 <> 0 then 'group' when l_linenumber = 7 then 'picture' else 'shape' end as kind,
-             case when l_partkey % 10 = 0 then 'label' else '' end as text,
+             case l_partkey % 10 when 0 then 'label' when 1 then chr(10) when 2 then chr(9) || ' ' else '' end as text,
              cast(l_partkey % 100 as double) as x0, cast(l_suppkey % 90 as double) as y0, cast(l_partkey % 100 as double) + l_quantity as x1, cast(l_suppkey % 90 as double) + l_quantity as y1
            from lineitem)
 """
@@ -130,7 +132,7 @@ shapes as (select cast(l_orderkey % 9 as int) as deck, cast(floor(l_orderkey / 1
     "shape_regions",
     """select deck, page, group_id, count(*) filter (where shape) as part_count, min(x0) filter (where edge) as x0, min(y0) filter (where edge) as y0,
       max(x1) filter (where edge) as x1, max(y1) filter (where edge) as y1, group_id is not null as grouped
-    from (select *, kind = 'shape' and text = '' as shape, case when group_id is null then kind = 'shape' and text = '' else kind = 'group' end as edge from shapes)
+    from (select *, kind = 'shape' and trim(text, ' ' || chr(9) || chr(10)) = '' as shape, case when group_id is null then kind = 'shape' and trim(text, ' ' || chr(9) || chr(10)) = '' else kind = 'group' end as edge from shapes)
     group by 1, 2, 3 having count(*) filter (where shape) >= 3 and count(*) filter (where edge) > 0""",
     SHAPES_SQL,
 )
@@ -139,7 +141,7 @@ def shape_regions(spark, sf):
         "cast(l_orderkey % 9 as int) as deck", "cast(floor(l_orderkey / 18) as int) as page",
         "case when l_orderkey % 3 = 0 then null else cast(l_orderkey as string) end as group_id",
         "case when l_linenumber = 1 and l_orderkey % 3 <> 0 then 'group' when l_linenumber = 7 then 'picture' else 'shape' end as kind",
-        "case when l_partkey % 10 = 0 then 'label' else '' end as text",
+        "case l_partkey % 10 when 0 then 'label' when 1 then '\\n' when 2 then '\\t ' else '' end as text",
         "cast(l_partkey % 100 as double) as x0", "cast(l_suppkey % 90 as double) as y0",
         "cast(l_partkey % 100 as double) + l_quantity as x1", "cast(l_suppkey % 90 as double) + l_quantity as y1",
     )
@@ -151,7 +153,7 @@ def shape_regions(spark, sf):
 
 @query(
     "stored_replay",
-    """select item_id, cast(min(read_no) over (partition by item_id) + row_number() over (partition by item_id order by read_no) - 1 as int) as read_no,
+    """select item_id, cast(read_no as int) as read_no,
     name, variant, i.inchikey as true_key, engine, raw, r.inchikey, round(confidence, 4) as confidence from items i join r using (item_id)""",
     READS_SQL,
 )

@@ -211,7 +211,7 @@ def alias_lookup_in_text(spark, sf):
     alias_hits_sql("not whole_only"),
 )
 def hangul_mentions(spark, sf):
-    hangul = d.spread(d.table(spark, sf, "documents")).select("doc_id", F.translate(F.lower("text"), LATIN, SYLLABLES).alias("text"))
+    hangul = d.table(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SYLLABLES).alias("text"))
     hits = mn.hangul_hits(hangul, ["doc_id"], "text", aliases(spark, sf))
     return hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
@@ -370,7 +370,7 @@ def loose_lookup(spark, sf):
 def did_you_mean(spark, sf):
     titles = d.dictionary(spark, sf).select("title", F.col("cid").alias("ord"))
     asked = d.words(spark, sf, "conversations").select(F.col("w").alias("query"))
-    return fz.suggest(d.spread(asked), titles).select("query", "title", "distance", "rank")
+    return fz.suggest(asked, titles).select("query", "title", "distance", "rank")
 
 
 @query(

@@ -165,7 +165,7 @@ def requests(spark, sf):
 
 
 def answered(spark, sf):
-    return answer_requests(d.spread(requests(spark, sf)), parts(spark, sf))
+    return answer_requests(requests(spark, sf), parts(spark, sf))
 
 
 @query(
@@ -184,7 +184,7 @@ def service_verdicts(spark, sf):
 
 @query(
     "check_responses",
-    """select rid as request_id, verdict as v, ref_name as ref, primary_raw as smiles, case when rule <> 'not_a_structure' then primary_key end as inchikey, n_reads as engines,
+    """select rid as request_id, verdict as v, ref_name as ref, primary_raw as smiles, case when n_valid > 0 then primary_key end as inchikey, n_reads as engines,
     (select string_agg(coalesce(cast(round(confidence, 4) as varchar), 'null'), ',' order by i) from rr where rr.rid = judged.rid) as confidences from judged""",
     REQUESTS_SQL,
 )
@@ -244,9 +244,7 @@ def image_labels(spark, sf):
 
 @query(
     "content_names",
-    """select doc_id, concat(coalesce(nullif(left(regexp_replace(left(text, 60), '[^A-Za-z0-9_-]+', '', 'g'), 32), ''), 'image'), '-', left(sha1(text), 10), '.png') as name from documents""",
+    """select page_id, concat(coalesce(nullif(left(regexp_replace(url, '[^A-Za-z0-9_-]+', '', 'g'), 32), ''), 'image'), '-', left(sha1(html), 10), '.png') as name from pages""",
 )
 def content_names(spark, sf):
-    return d.table(spark, sf, "documents").select(
-        "doc_id", bx.content_name(F.left("text", F.lit(60)), F.col("text").cast("binary")).alias("name")
-    )
+    return d.table(spark, sf, "pages").select("page_id", bx.content_name(F.col("url"), F.col("html").cast("binary")).alias("name"))

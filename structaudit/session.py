@@ -1,11 +1,10 @@
-"""Session defaults and the few places where lineage is cut."""
+"""Session defaults."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "structaudit", cpus: int | None = None) -> SparkSession:
@@ -26,17 +25,3 @@ def local_session(app: str = "structaudit", cpus: int | None = None) -> SparkSes
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a session without one
-    (a test) gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)

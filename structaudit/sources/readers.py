@@ -45,15 +45,15 @@ def dictionary_rows(json_text: Column) -> Column:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary files: ``{"entries": {name: record}}`` as JSON, or Parquet rows. A file that is
-    missing or cannot be parsed is an empty table."""
+    """Dictionary files: ``{"entries": {name: record}}`` as JSON, or Parquet rows. A JSON file
+    that is missing or cannot be parsed is an empty table; a Parquet path that cannot be read is an error."""
     columns = ["name_key", "inchikey", "formula", "smiles", "iupac", "title", "cid"]
-    try:
-        if path.endswith(".json"):
-            text = spark.read.text(path, wholetext=True)
-            rows = text.select(dictionary_rows(F.col("value")).alias("name", "record"))
-            return rows.select(F.lower(F.trim("name")).alias("name_key"), "record.*").select(*columns)
+    if not path.endswith(".json"):
         return spark.read.schema(f"name_key string, {RECORD}").parquet(path)
+    try:
+        text = spark.read.text(path, wholetext=True)
+        rows = text.select(dictionary_rows(F.col("value")).alias("name", "record"))
+        return rows.select(F.lower(F.trim("name")).alias("name_key"), "record.*").select(*columns)
     except AnalysisException:
         return spark.createDataFrame([], f"name_key string, {RECORD}")
 
@@ -76,25 +76,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replay_rows(items: DataFrame) -> DataFrame:
-    """Nested items to one row per reading; an item without readings keeps one row of NULLs."""
-    return items.select(
-        F.col("index").alias("item_id"), "name", "variant", F.col("inchikey").alias("true_key"),
-        F.col("first_read_no") if "first_read_no" in items.columns else F.lit(0).alias("first_read_no"),
-        F.posexplode_outer("reads").alias("at", "r"),
-    ).select(
-        "item_id", "name", "variant", "true_key",
-        (F.col("first_read_no") + F.col("at")).cast("int").alias("read_no"),
-        "r.engine", "r.raw", "r.inchikey", known_confidence(F.col("r.confidence")).alias("confidence"),
+    """Stored items to one row per reading; an item without readings keeps one row of NULLs.
+
+    Rows hold one reading with its number (``read``), or all of an item as an array (``reads``), numbered from 0.
+    """
+    one = items
+    if "reads" in items.columns:
+        one = items.select("*", F.posexplode_outer("reads").alias("_at", "_r")).withColumn(
+            "read", F.when(F.col("_r").isNotNull(), F.struct(F.col("_at").alias("read_no"), "_r.engine", "_r.raw", "_r.inchikey", "_r.confidence"))
+        )
+    return one.select(
+        F.col("index").alias("item_id"), "name", "variant", F.col("inchikey").alias("true_key"), F.col("read.read_no").cast("int").alias("read_no"),
+        "read.engine", "read.raw", F.col("read.inchikey").alias("inchikey"), known_confidence(F.col("read.confidence")).alias("confidence"),
     )
 
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
-    """Stored readings: a document with ``items``, or one item per line as the sink writes them."""
+    """Stored readings: a document with ``items``, or one reading per line as the sink writes them."""
     if path.endswith(".json"):
         nested = f"items array<struct<{ITEM_STRUCT}>>"
         items = spark.read.schema(nested).json(path, multiLine=True).select(F.inline("items"))
         return replay_rows(items)
-    return replay_rows(spark.read.schema(f"{ITEM_DDL}, first_read_no int").json(path))
+    line = ITEM_DDL.replace(f"reads array<struct<{_READ_STRUCT}>>", f"read struct<read_no: int, {_READ_STRUCT}>")
+    return replay_rows(spark.read.schema(line).json(path))
 
 
 def read_image_labels(paths: DataFrame) -> DataFrame:

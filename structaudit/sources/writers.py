@@ -7,28 +7,19 @@ from pyspark.sql import functions as F
 
 from structaudit.functions.keys import json_confidence
 
-READS_PER_RECORD = 512
 
+def replay_items(reads: DataFrame, items: DataFrame) -> DataFrame:
+    """Items beside their readings, for storing: one row per reading, with its number.
 
-def replay_items(reads: DataFrame, items: DataFrame, per_record: int = READS_PER_RECORD) -> DataFrame:
-    """Items with their readings nested, for storing.
-
-    Readings nest in records of at most ``per_record`` consecutive reading numbers; an item with
-    more has several records, told apart by ``first_read_no``, and reads back as one.
+    An item without readings has one row and a null reading, so it is not lost.
     """
     reading = F.struct("read_no", "engine", "raw", "inchikey", json_confidence(F.col("confidence")).alias("confidence"))
-    first = (F.floor(F.col("read_no") / per_record) * per_record).cast("int")
-    nested = (
-        reads.groupBy("item_id", first.alias("first_read_no"))
-        .agg(F.array_sort(F.collect_list(reading)).alias("reads"))
-        .withColumn("first_read_no", F.coalesce(F.get("reads", F.lit(0))["read_no"], F.col("first_read_no")))
-        .withColumn("reads", F.transform("reads", lambda r: r.dropFields("read_no")))
-    )
-    return items.join(nested, "item_id", "left").withColumnRenamed("item_id", "index")
+    rows = reads.select("item_id", reading.alias("read"))
+    return items.join(rows, "item_id", "left").withColumnRenamed("item_id", "index")
 
 
 def write_replay(reads: DataFrame, items: DataFrame, path: str, engine_kind: str = "stored") -> None:
-    """Store items with nested readings, and a one-row table of run metadata beside them."""
+    """Store a line per reading with its item, and a one-row table of run metadata beside them."""
     replay_items(reads, items).write.mode("overwrite").json(f"{path}/items")
     engines = reads.select("engine").distinct().withColumn("engine_kind", F.lit(engine_kind))
     engines.write.mode("overwrite").json(f"{path}/engines")

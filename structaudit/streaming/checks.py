@@ -34,9 +34,7 @@ def check_stream(requests: DataFrame, dict_df: DataFrame, out_path: str, checkpo
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        judged = answer_requests(batch, dict_df)
-        responses = judged.select("request_id", "verdict", "grade").join(check_response(judged), "request_id")
-        responses.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        check_response(answer_requests(batch, dict_df)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(answer)

@@ -66,6 +66,7 @@ def test_scores(evaluated):
     cases = {
         "salicylic acid": 4.0, "acid": -1.0, "mw 180": -1.0, "C9H8O4": -1.0, "vitamin C": 4.0, "Caffeine": 4.5, "DMSO": 1.0,
         "(S)-ibuprofen": 2.5, "2-methylbutane": 7.5, "hello": -1.0, "benzoic acid ester": 6.5, "structure acid": -1.0, "Water": 1.5,
+        "vitamin c": 4.0, "Vitamins k": 4.0, "one two three four butanol": 5.0, "one two three four": -1.0, "": -1.0,
     }
     got = evaluated([(p,) for p in cases], "p string", s=tx.candidate_score(F.col("p")))
     assert {p: g["s"] for p, g in zip(cases, got)} == cases
