@@ -29,9 +29,9 @@ LENGTH, ANCHOR = 200, 32
 WIDTH = LENGTH - ANCHOR + 1
 SHIFT = 256  # above the windows of a segment, WIDTH at most
 #: Bytes of text looked at together, and bytes of segments in one block.
-TEXT_BYTES, BLOCK_BYTES = 4_000_000, 1_500_000
+TEXT_BYTES, BLOCK_BYTES = 1_500_000, 700_000
 #: Anchors with more different segments than this are cut into single windows instead.
-SEGMENTS = 1024
+SEGMENTS = 6_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -45,7 +45,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _powers_for(n: int):
-    return _powers(1 << max(23, int(n + 1).bit_length()))
+    return _powers(1 << max(21, int(n + 1).bit_length()))
 
 
 def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -63,7 +63,7 @@ def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(29)
-    low = max(23, int(n).bit_length())
+    low = 32  # a text has fewer bytes than this leaves room for; ties go to the leftmost place
     packed = (value >> np.uint64(low) << np.uint64(low)) | np.arange(len(value), dtype=np.uint64)
     padded = np.full(-(-len(packed) // WIDTH) * WIDTH, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(packed)] = packed
@@ -111,26 +111,41 @@ def segments_of(docs: DataFrame) -> DataFrame:
 
 def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes in order of their first ``depth`` symbols at least, by doubling."""
-    n, h = len(text), 7
+    n = len(text)
+    used = np.flatnonzero(np.bincount(text))
+    small = np.zeros(int(used[-1]) + 1, np.uint64)
+    small[used] = np.arange(len(used)) + (used[0] > 0)  # 0 stays 0
+    bits, place = max(1, int(len(used)).bit_length()), max(1, int(n).bit_length())
+    h = max(1, (64 - place) // bits)
     padded = np.zeros(n + h, np.uint64)
-    padded[:n] = text
+    padded[:n] = small[text]
     key = np.zeros(n, np.uint64)
     for i in range(h):
-        key = (key << np.uint64(9)) | padded[i : i + n]
+        key = (key << np.uint64(bits)) | padded[i : i + n]
     while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
+        order, fresh = _sorted(key, place)
         if h >= depth or fresh.all():
             return order
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(fresh)
-        key = rank << np.uint64(32)
+        key = rank << np.uint64(place)
         key[: n - h] |= rank[h:]
         h *= 2
 
 
+def _sorted(key: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and where a new key begins. Sorting key and place as one number is the quicker way."""
+    fresh = np.ones(len(key), bool)
+    if int(key.max()).bit_length() + place <= 64:
+        both = np.sort((key << np.uint64(place)) | np.arange(len(key), dtype=np.uint64))
+        sorted_key, order = both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key)
+        sorted_key = key[order]
+    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
+    return order, fresh
+
+
 def common_prefixes(bwt: np.ndarray, stop: int) -> np.ndarray:
     """Common prefix of each suffix with the one before, by interval expansion; -1 if ``stop`` or more.
 

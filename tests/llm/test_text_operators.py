@@ -88,7 +88,7 @@ def repeat_rows():
     return [a, a, b + some(300), some(100) + b, "x" * 450, b[:199], None, "", "y" * 199 + b[:1], *near, "z" * 5_000]
 
 
-@pytest.mark.parametrize("segments", [1024, 2])
+@pytest.mark.parametrize("segments", [6_000, 2])
 def test_repeats_against_brute_force(documents, monkeypatch, segments):
     monkeypatch.setattr(repeats, "SEGMENTS", segments)
     texts = repeat_rows()
