@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from structaudit.plans import registry
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [
@@ -15,7 +16,8 @@ CHECKED = [
 
 def test_contract_names():
     queries, sql = contract.queries(), contract.oracle_sql()
-    assert set(sql) <= set(queries) and set(queries) - set(sql) == {"drawing_regions"}
+    assert set(sql) <= set(queries) and set(registry.QUERIES) <= set(queries)
+    assert set(registry.QUERIES) - set(registry.SQL) == {"drawing_regions"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not mounted")
