@@ -25,7 +25,7 @@ def lines(docs: DataFrame, ids: Sequence[str], text: str, part: str | None = Non
     pieces = F.split(F.col(text), tx.LINE_BREAK)
     kept = F.filter(pieces, lambda line, i: (line != "") | (i < F.size(pieces) - 1))
     at = F.col(part) if part else F.lit(0)
-    return docs.select(*ids, at.cast("int").alias("part"), F.posexplode(kept).alias("line_no", "line"))
+    return docs.select(*ids, at.cast("bigint").alias("part"), F.posexplode(kept).alias("line_no", "line"))
 
 
 def tokens(docs: DataFrame, ids: Sequence[str], text: str, part: str | None = None) -> DataFrame:

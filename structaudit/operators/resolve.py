@@ -87,11 +87,13 @@ def resolve_loose(queries: DataFrame, dict_df: DataFrame, loose_df: DataFrame) -
         .withColumn("alias_key", tx.normalize_loose(F.col("query")))
     )
     exact = table.select("name_key", F.col("inchikey").alias("exact_key"), F.col("title").alias("exact_title"))
-    found = (
-        asked.join(exact, "name_key", "left")
-        .join(loose_df.select("alias_key", F.col("inchikey").alias("loose_key")), "alias_key", "left")
-        .join(by_key.select(F.col("inchikey").alias("loose_key"), "row"), "loose_key", "left")
+    # Only queries with an alias reach the second join, so that misses do not meet on one empty key.
+    loose = (
+        asked.join(loose_df.select("alias_key", F.col("inchikey").alias("loose_key")), "alias_key")
+        .join(by_key.select(F.col("inchikey").alias("loose_key"), "row"), "loose_key")
+        .select("query", "loose_key", "row")
     )
+    found = asked.join(exact, "name_key", "left").join(loose, "query", "left")
     exact_hit = F.col("exact_key").isNotNull()
     return found.select(
         "query",

@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from structaudit.plans import adjudication, evaluation, mining, pages, resolution, service
+from structaudit.plans import adjudication, decks, evaluation, mining, pages, resolution, service
 
 QUERIES, SQL = {}, {}
-for module in (adjudication, evaluation, mining, resolution, service, pages):
+for module in (adjudication, evaluation, mining, resolution, service, pages, decks):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
