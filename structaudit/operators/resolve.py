@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structaudit.functions import text as tx
+from structaudit.functions.formula import principal_fragment
 from structaudit.functions.keys import is_valid_key, skeleton
 
 
 def _names(dict_df: DataFrame) -> DataFrame:
     wanted = {
         "name_key": "string", "inchikey": "string", "formula": "string", "smiles": "string",
-        "iupac": "string", "title": "string", "cid": "bigint",
+        "iupac": "string", "title": "string", "cid": "bigint", "principal_inchikey": "string",
     }
     have = set(dict_df.columns)
     return dict_df.select(
@@ -50,7 +51,11 @@ def effective_dictionary(shipped: DataFrame, cache: DataFrame | None = None) ->
 
 
 def resolve(queries: DataFrame, shipped: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """First spelling of each query that some source knows; carries the spelling that hit."""
+    """First spelling of each query that some source knows; carries the spelling that hit.
+
+    A dictionary may hold ``principal_inchikey``, the key of a record's main component. It stands in for
+    the record's own key where that component stands out: a salt is judged by its parent's drawing.
+    """
     tried = (
         queries.select("query")
         .distinct()
@@ -59,14 +64,16 @@ def resolve(queries: DataFrame, shipped: DataFrame, cache: DataFrame | None = No
         .where("name_key <> ''")
     )
     hits = tried.join(effective_dictionary(shipped, cache), "name_key")
-    first = F.min_by(F.struct("variant", "inchikey", "formula", "smiles", "source"), "variant_no")
+    first = F.min_by(F.struct("variant", "inchikey", "formula", "smiles", "source", "principal_inchikey"), "variant_no")
+    smiles, parent = F.col("hit.smiles"), F.col("hit.principal_inchikey")
+    salt = (parent != "") & smiles.contains(".") & (principal_fragment(smiles) != smiles)
     return (
         hits.groupBy("query")
         .agg(first.alias("hit"))
         .select(
             "query",
             F.col("hit.variant").alias("matched_name"),
-            "hit.inchikey",
+            F.when(salt, parent).otherwise(F.col("hit.inchikey")).alias("inchikey"),
             F.coalesce("hit.formula", F.lit("")).alias("formula"),
             F.coalesce("hit.smiles", F.lit("")).alias("smiles"),
             "hit.source",

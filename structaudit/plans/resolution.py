@@ -101,6 +101,30 @@ def resolved_names(spark, sf):
     return found.select("query", "matched_name", "inchikey", "smiles", "source")
 
 
+# Salts: one fragment stands out, two are equal, two are too close to choose, or there is only one.
+SALT = (
+    "case cid % 4 when 0 then concat(repeat('C', cast(length(w) + 6 as int)), '.[Na+]') when 1 then 'CCCCCCCC.CCCCCCCC' "
+    "when 2 then 'CCCCCCCC.CCCCCCC' else 'CCCCCCCC' end"
+)
+PARENT_OF = "concat(w, 'p')"
+
+
+@query(
+    "resolved_salts",
+    f"""select name_key as query, {SALT} as smiles,
+    case when cid % 4 in (0, 1) and cid % 5 <> 0 then {d.key(PARENT_OF, "w", "varchar")} else inchikey end as inchikey
+    from (select *, name_key as w from dict) semi join (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) as w from documents) using (w)""",
+    DICT_SQL,
+)
+def resolved_salts(spark, sf):
+    stored = d.dictionary(spark, sf).withColumn("w", F.col("name_key"))
+    salts = stored.withColumn("smiles", F.expr(SALT)).withColumn(
+        "principal_inchikey", F.expr(f"case when cid % 5 <> 0 then {d.key(PARENT_OF, 'w', 'string')} end")
+    )
+    asked = d.words(spark, sf, "documents").select(F.col("w").alias("query"))
+    return rs.resolve(asked, salts).select("query", "smiles", "inchikey")
+
+
 CACHED_AS = "concat(w, 'c')"
 CACHE_SQL = f"""
 cache as (select name_key, case when cid % 4 = 2 then null else {d.key(CACHED_AS, "w", "varchar")} end as inchikey,
