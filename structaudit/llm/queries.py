@@ -80,4 +80,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_decontamination, op2_bwt_repeats, op3_warc_revisits, op4_feistel_shards, op5_trie_bpe, op6_pii, op7_projections, op8_simhash, op9_language, op10_secrets)}
 
-SQL: dict[str, str] = {}
+#: The revisits by a plain join: every earlier response of the URL, then the latest.
+WARC_SQL = r"""
+with page as (select page_id, url, 1600000000 + page_id * 7919 % 31536000 as began, concat('"', md5(coalesce(html, '')), '"') as etag, octet_length(encode(html)) as size from pages),
+dated as (select *, strftime(make_timestamp(began * 1000000), '%Y-%m-%d %H:%M:%S') as modified from page),
+raw as (
+  select page_id * 3 as id, 'response' as kind, url, began as captured, etag, modified, 'max-age=60' as cache, null as expires, size from dated
+  union all
+  select page_id * 3 + 1, 'revisit', regexp_replace(url, '^https://', 'HTTPS://'), began + 40000,
+         case page_id % 4 when 0 then '"stale"' when 1 then concat('W/', etag) end, case when page_id % 4 = 2 then modified end, 'max-age=120', null, null from dated
+  union all
+  select page_id * 3 + 2, 'revisit', url || '#part', began - 3600, etag, null, null, '0', null from dated),
+bare as (select * replace (regexp_replace(trim(url), '#.*$', '') as url) from raw),
+cut as (select *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) as host,
+               regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') as rest from bare),
+kept as (select *, case scheme when 'http' then regexp_replace(host, ':80$', '') when 'https' then regexp_replace(host, ':443$', '') else host end as site,
+                coalesce(nullif(regexp_replace(rest, '\?.*$', ''), ''), '/') as path,
+                array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref)(=|$)'))), '&') as query from cut),
+rec as (select id, kind, case when site = '' then url else concat(scheme, '://', site, path, case when query = '' then '' else '?' || query end) end as url, captured, etag, modified, cache, expires, size from kept),
+met as (select v.id as revisit_id, v.url, r.id as base_id, v.etag, v.modified, v.cache, v.expires, r.etag as old_etag, r.modified as old_modified, r.cache as old_cache, r.size
+        from rec v left join rec r on r.kind = 'response' and r.url = v.url and r.captured < v.captured where v.kind = 'revisit'
+        qualify row_number() over (partition by v.id order by r.captured desc nulls last, r.id desc) = 1),
+judged as (select *, case when base_id is null then 'no_base' when etag is null and modified is null then 'unchecked'
+                          when etag is not null then case when regexp_replace(etag, '^W/', '') = old_etag then 'resolved' else 'mismatch' end
+                          when modified = old_modified then 'resolved' else 'mismatch' end as status from met)
+select revisit_id, url, base_id, status, case when status in ('resolved', 'unchecked') then array_to_string(list_sort(list_filter([
+  'cache-control: ' || coalesce(cache, old_cache), 'content-length: ' || size, 'content-type: text/html', 'etag: ' || coalesce(etag, old_etag),
+  'expires: ' || expires, 'last-modified: ' || coalesce(modified, old_modified)], lambda x: x is not null)), chr(10)) end as headers
+from judged"""
+
+#: Fingerprints, alignments, models and tokens have no SQL; tests hold those queries against brute force.
+SQL: dict[str, str] = {"op3_warc_revisits": WARC_SQL}
