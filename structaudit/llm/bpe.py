@@ -15,6 +15,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
@@ -240,7 +241,9 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([[int(i) for i in ids.split()] for ids, _, _ in rows], pa.list_(pa.int32())))
+                    held = [np.array(ids.split(), dtype=np.int32) for ids, _, _ in rows]
+                    bounds = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(bounds, np.concatenate(held)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
