@@ -28,9 +28,9 @@ END = "</w>"
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Encodings kept in one Python worker, and bytes of text whose words form one trie.
-CACHED, TRIE_BYTES = 200_000, 4_000_000
+CACHED, TRIE_BYTES = 100_000, 2_000_000
 #: Token pairs whose border has been looked at, in one worker.
-BORDERS = 500_000
+BORDERS = 200_000
 
 
 def byte_letters() -> str:
@@ -181,6 +181,10 @@ class WordBpe:
             tokens = encoded[letters]
             self.known[word] = (" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens))
 
+    def forget(self) -> None:
+        """Drop the words and borders met so far."""
+        self.known, self.older, self.borders = {}, {}, {}
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         return [[int(i) for i in ids.split()] for ids, _, _ in self.encoded(texts)]
@@ -223,29 +227,34 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     ``path`` names a vocabulary file that every machine has. A null text is an empty one: no tokens.
     Special tokens in a text become their ids. Repeated rows are answered one by one, extra columns
-    are ignored, an empty table gives no rows. Text goes through in runs of about four megabytes, whose
+    are ignored, an empty table gives no rows. Text goes through in runs of about two megabytes, whose
     new words share a trie; a long document is one run by itself.
     """
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
-            texts = batch.column(1).fill_null("")
-            gc.disable()  # nothing made here is cyclic, and looking for cycles costs a third of the time
-            for start, end in slices(pa.compute.binary_length(texts).to_pylist(), TRIE_BYTES):
-                rows = bpe.encoded(texts.slice(start, end - start).to_pylist())
-                digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                columns = [
-                    batch.column(0).slice(start, end - start), pa.array([n for _, _, n in rows], pa.int64()),
-                    pa.array([digest(ids) for ids, _, _ in rows]), pa.array([digest(out) for _, out, _ in rows]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    held = [np.array(ids.split(), dtype=np.int32) for ids, _, _ in rows]
-                    bounds = np.cumsum([0, *map(len, held)], dtype=np.int32)
-                    columns.append(pa.ListArray.from_arrays(bounds, np.concatenate(held)))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        gc.disable()  # nothing made here is cyclic, and looking for cycles costs a third of the time
+        try:
+            for batch in batches:
+                texts = batch.column(1).fill_null("")
+                for start, end in slices(pa.compute.binary_length(texts).to_pylist(), TRIE_BYTES):
+                    rows = bpe.encoded(texts.slice(start, end - start).to_pylist())
+                    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+                    columns = [
+                        batch.column(0).slice(start, end - start), pa.array([n for _, _, n in rows], pa.int64()),
+                        pa.array([digest(ids) for ids, _, _ in rows]), pa.array([digest(out) for _, out, _ in rows]),
+                    ]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        held = [np.array(ids.split(), dtype=np.int32) for ids, _, _ in rows]
+                        bounds = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                        columns.append(pa.ListArray.from_arrays(bounds, np.concatenate(held)))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            # The worker may go on to other work: it keeps the vocabulary, not the words.
+            bpe.forget()
+            gc.enable()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return text_rows(docs).mapInArrow(run, schema)
