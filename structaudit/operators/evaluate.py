@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structaudit.functions.keys import confidence_bin, engine_family, known_confidence, skeleton
@@ -118,7 +118,14 @@ def card(outcomes: DataFrame) -> DataFrame:
 
 
 def decline_reasons(outcomes: DataFrame) -> DataFrame:
-    return outcomes.where("outcome = 'declined'").groupBy("arm", "reason").agg(F.count("*").alias("n"))
+    """Declined items per arm and reason; ``place`` is the report order, most frequent first."""
+    counted = outcomes.where("outcome = 'declined'").groupBy("arm", "reason").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", _place("arm", "reason"))
+
+
+def _place(group: str, label: str) -> Column:
+    """Place of a counted row in its group: the largest ``n`` first, equal counts by label."""
+    return F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), F.asc_nulls_last(label)))
 
 
 def by_variant(outcomes: DataFrame) -> DataFrame:
@@ -476,7 +483,7 @@ def document_summary(findings: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def abstain_buckets(findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Abstentions per deck and bucket; without any text layer there is only one cause."""
+    """Abstentions per deck and bucket, ``place`` by frequency; without any text layer there is only one cause."""
     textless = (F.col("n_figures") > 0) & (F.col("text_chars") == 0)
     bucket = F.when(textless, "no text layer").otherwise(silence_bucket(F.col("reason")))
     counted = findings.where("verdict = 'abstain'").groupBy("deck", "reason").agg(F.count("*").alias("n"))
@@ -484,6 +491,7 @@ def abstain_buckets(findings: DataFrame, pages: DataFrame) -> DataFrame:
         counted.join(_deck_facts(pages), "deck")
         .groupBy("deck", bucket.alias("bucket"))
         .agg(F.sum("n").alias("n"))
+        .withColumn("place", _place("deck", "bucket"))
     )
 
 

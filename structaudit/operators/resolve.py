@@ -189,6 +189,24 @@ def names_for(keys: DataFrame, dict_df: DataFrame, fallback: str | None = None)
     )
 
 
+def names_for_cached(keys: DataFrame, dict_df: DataFrame, cache: DataFrame) -> DataFrame:
+    """Names of exactly this key, from ``cache(inchikey, title, iupac)`` first, then from the dictionary.
+
+    A cached key without title and iupac is a known miss: it answers nothing, and the dictionary is not asked.
+    """
+    asked = keys.select(F.upper(F.trim("inchikey")).alias("inchikey")).distinct()
+    held = cache.groupBy(F.upper(F.trim("inchikey")).alias("inchikey")).agg(
+        F.max(F.struct(F.col("title").alias("common"), "iupac")).alias("held")
+    )
+    known = (
+        asked.where(is_valid_key(F.col("inchikey"))).join(held, "inchikey")
+        .where("held.common is not null or held.iupac is not null")
+        .select("inchikey", *[F.coalesce(f"held.{c}", F.lit("")).alias(c) for c in ("common", "iupac")], F.lit("cache").alias("source"))
+    )
+    rest = names_for(asked.join(held, "inchikey", "left_anti"), dict_df)
+    return known.unionByName(rest.select("inchikey", "common", "iupac", F.lit("offline").alias("source")))
+
+
 def localised_name(keys: DataFrame, dict_df: DataFrame, alias_df: DataFrame) -> DataFrame:
     """Hangul name of a key: through its title, its systematic name, then its names, shortest first.
 

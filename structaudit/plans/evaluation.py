@@ -81,7 +81,7 @@ def policy_cards(spark, sf):
     )
 
 
-@query("decline_reasons", "select arm, reason, count(*) as n from outcomes where outcome = 'declined' group by 1, 2", *BASE)
+@query("decline_reasons", "select arm, reason, count(*) as n, row_number() over (partition by arm order by count(*) desc, reason nulls last) as place from outcomes where outcome = 'declined' group by 1, 2", *BASE)
 def decline_reasons(spark, sf):
     return ev.decline_reasons(outcomes(spark, sf))
 
@@ -390,10 +390,11 @@ def document_summary(spark, sf):
 
 @query(
     "abstain_buckets",
-    """select deck, case when text_chars = 0 then 'no text layer' when reason = 'no_engine' then 'no reader available'
+    """select *, row_number() over (partition by deck order by n desc, bucket nulls last) as place from (
+      select deck, case when text_chars = 0 then 'no text layer' when reason = 'no_engine' then 'no reader available'
       when reason = 'low_confidence' then 'low reading confidence' when reason = 'self_inconsistent' then 'readers disagree'
       when reason = 'unparseable' then 'reading is no structure' else reason end as bucket, count(*) as n
-    from pf2 join (select deck, sum(text_chars) as text_chars from pages2 group by 1) using (deck) where verdict = 'abstain' group by 1, 2""",
+    from pf2 join (select deck, sum(text_chars) as text_chars from pages2 group by 1) using (deck) where verdict = 'abstain' group by 1, 2)""",
     *FOUND, PAGES_SQL,
 )
 def abstain_buckets(spark, sf):
