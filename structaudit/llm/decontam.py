@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds propose, Smith-Waterman alignment decides.
+"""Benchmark decontamination: n-gram seeds propose, Smith-Waterman alignment decides.
 
-Test items are cut into pieces of bounded length. Along a piece, every window of neighbouring
-n-grams gives up its rarest one as a seed, rarity being the count over the whole corpus; so any
-stretch of unchanged words of a window's length holds a seed, whatever is rare or common in it. Where a
-seed occurs in a document, the words around it are aligned with the piece by words.
+Test items are cut into pieces of bounded length, and every n-gram of a piece is a seed. A choice of
+the rarest by corpus counts would lose edited copies: what an edit destroyed is the rarest there,
+whether it occurs nowhere or only in an unedited copy elsewhere. So any NGRAM unchanged words in a
+row propose a copy; one without such a run is not proposed. Where a seed occurs in a document, the
+words around it are aligned with the piece by words.
 
 Items are the stated query set. They are taken in blocks of bounded size, and each block is set
 against all documents; the blocks together give the same rows as one block of everything.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from structaudit.llm.common import slices, text_rows
 
-NGRAM, WINDOW = 3, 6
+NGRAM = 3
 #: Words of a piece; longer items overlap by half. Pieces below ``SHORTEST`` words are not test text.
 PIECE, SHORTEST = 128, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -51,22 +52,11 @@ class Pieces:
                     self.item.append(item)
                     self.words.append(np.array(words[at : at + PIECE], np.int64))
         grams = [ngrams(w) for w in self.words]
-        self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.distinct = np.unique(self.grams)
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Keep the rarest n-gram of every window; ``counts`` belong to ``distinct``."""
-        count = counts[np.searchsorted(self.distinct, self.grams)]
-        keep = np.zeros(len(self.grams), bool)
-        for i in range(len(self.words)):
-            own = np.flatnonzero(self.owner == i) if i == 0 else np.arange(own[-1] + 1, own[-1] + 1 + len(self.words[i]) - NGRAM + 1)
-            c = count[own]
-            for at in range(max(1, len(c) - WINDOW + 1)):
-                keep[own[at + int(c[at : at + WINDOW].argmin())]] = True
-        order = np.argsort(self.grams[keep], kind="stable")
-        self.seed, self.seed_owner, self.seed_place = self.grams[keep][order], self.owner[keep][order], self.place[keep][order]
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        seed = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.seed_owner, self.seed_place = seed[order], owner[order], place[order]
 
 
 def ngrams(words: np.ndarray) -> np.ndarray:
@@ -214,39 +204,11 @@ def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in range(number):
         held = [(r["item_id"], r["text"]) for r in parts.where(F.col("block") == block).orderBy("item_id", "at").collect()]
         pieces = Pieces(held)
-        counts = rows.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(pieces)), "gram bigint, n bigint")
-        counts = counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        seen = np.zeros(len(pieces.distinct), np.int64)
-        if counts:
-            grams = np.array([r["gram"] for r in counts], np.int64).view(np.uint64)
-            seen[np.searchsorted(pieces.distinct, grams)] = [r["n"] for r in counts]
-        pieces.choose(seen)
         made = rows.mapInArrow(_aligner(spark.sparkContext.broadcast(pieces)), "doc_id bigint, item_id bigint, score double, seeds bigint")
         found = made if found is None else found.union(made)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("seeds").alias("seeds"))
 
 
-def _counter(held):
-    """Counts of the block's n-grams in each batch of texts."""
-
-    def run(batches):
-        pieces = held.value
-        for batch in batches:
-            texts, total = batch.column(0), np.zeros(len(pieces.distinct), np.int64)
-            for start, end in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist(), TEXT_BYTES):
-                words, _ = numbered(texts.slice(start, end - start).to_pylist(), pieces.vocabulary)
-                codes = ngrams(words)
-                codes = codes[codes > 0]
-                at = np.searchsorted(pieces.distinct, codes)
-                at[at == len(pieces.distinct)] = 0
-                if len(pieces.distinct):
-                    total += np.bincount(at[pieces.distinct[at] == codes], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(pieces.distinct[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    return run
-
-
 def _aligner(held):
     def run(batches):
         pieces = held.value

@@ -58,6 +58,27 @@ def test_edited_copies_are_found(spark, documents, odd, nothing):
     assert decontam.contaminated_documents(odd, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole_copies", [0, 1])
+def test_copies_with_many_words_replaced_are_found(spark, documents, whole_copies):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    spaced = lambda gap: lambda j: j % gap == gap - 1
+    drawn = lambda rate: lambda j: rng.random() < rate
+    kinds = [spaced(gap) for gap in (5, 6, 7, 8)] + [drawn(rate) for rate in (0.1, 0.15, 0.2, 0.25, 0.3)]
+    # Every item has one edited copy of its own, alone or beside an unedited one.
+    items, texts, want = [], [], set()
+    for i in range(90):
+        item = [word() for _ in range(40)]
+        copy = [word() if kinds[i % 9](j) else w for j, w in enumerate(item)]
+        items.append((i, " ".join(item)))
+        texts += [(i, " ".join([word(), *copy, word()])), *[(1000 + i, " ".join(item))] * whole_copies]
+        want |= {(i, i)} if swat(item, copy) >= len(item) else set()
+        want |= {(1000 + i, i)} if whole_copies else set()
+    assert all((i, i) in want for i in range(90) if i % 9 < 4)
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(documents(texts), df).collect()} == want
+
+
 def test_blocks_of_items_change_nothing(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(tuple(r) for r in decontam.contaminated_documents(docs, items).select("doc_id", "item_id", "score").collect())
