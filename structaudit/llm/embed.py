@@ -57,10 +57,14 @@ def calibrated(n: int, threshold: float, recall: float) -> Lines:
         r = SLICE / distance
         return 1 - 2 * normal.cdf(-r) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
+    # A table generates a pair that shares its cell and lies within the window on its first line.
+    inside = 2 * normal.cdf(WINDOW / gap) - 1
+    beside = 2 * gap / (math.sqrt(2 * math.pi) * SLICE) * (1 - math.exp(-((WINDOW / gap) ** 2) / 2))
+
     lines = max(2, math.ceil(math.log(max(n, 1) / OCCUPANCY) / -math.log(same_slice(math.sqrt(2))))) if n > OCCUPANCY else 2
     miss = (1 - recall) / 2
-    tables = math.ceil(math.log(miss) / math.log1p(-(same_slice(gap) ** lines)))
-    p, total = 2 * normal.cdf(WINDOW / gap) - 1, lines * tables
+    tables = math.ceil(math.log(miss) / math.log1p(-(inside - beside) * same_slice(gap) ** (lines - 1)))
+    p, total = inside, lines * tables
     spread = math.sqrt(total * p * (1 - p))
     return Lines(lines, tables, max(0, math.floor(total * p + normal.inv_cdf(miss) * spread)))
 
@@ -103,8 +107,10 @@ def _linked(lines: Lines, ids, copies, cells, unit, block, i, j, table, threshol
             a, b = a[across], b[across]
         for at in range(0, len(a), PAIRS):
             x, y = a[at : at + PAIRS], b[at : at + PAIRS]
-            # A pair that also shares an earlier table is counted there.
-            first = ~(cells[x, :table] == cells[y, :table]).any(axis=1)
+            # A pair that an earlier table generates too is counted there.
+            firsts = slice(0, line, lines.lines)
+            close = np.abs(sides[x, firsts] - sides[y, firsts]) <= WINDOW
+            first = ~((cells[x, :table] == cells[y, :table]) & close).any(axis=1)
             x, y = x[first], y[first]
             many = (np.abs(sides[x] - sides[y]) <= WINDOW).sum(axis=1) >= lines.least
             x, y = x[many], y[many]

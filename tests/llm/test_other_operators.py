@@ -43,6 +43,18 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_pairs_just_above_the_threshold_reach_the_recall(spark):
+    rng = np.random.default_rng(6)
+    left, other = (embed._unit(rng.standard_normal((2_000, 64))) for _ in range(2))
+    other = embed._unit(other - (other * left).sum(axis=1, keepdims=True) * left)
+    cosine = rng.uniform(0.9501, 0.96, (2_000, 1))
+    both = np.concatenate([left, cosine * left + np.sqrt(1 - cosine**2) * other])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embed.embedding_groups(df).collect()}
+    assert all(found[i] == found[i + 2_000] <= 1 for i in range(2_000))
+    assert sum(found[i] for i in range(2_000)) >= 0.985 * 2_000
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]),
