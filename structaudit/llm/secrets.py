@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from structaudit.llm.common import checkpointed, slices, text_rows
 
-#: A candidate: a run of key characters, 16 or more of them, with a digit in it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: a run of key characters, 16 or more of them, with a digit in it. ``=`` only pads its end: one
+#: with more characters or an opening quote behind it assigns, and the name before it is context.
+RUN = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = re.compile(rf"(?<=[\"'`]){RUN}=*(?=[\"'`])|(?<![A-Za-z0-9+/_-]){RUN}(?:=+(?![A-Za-z0-9+/_=\"'`-]))?")
 CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|bearer|auth)", re.I)
 PLACEHOLDER = re.compile(r"(?:example|sample|dummy|placeholder|test|changeme|your|xxx|todo|redacted)", re.I)
 DIGEST = re.compile(r"(?:commit|sha\d*|md5|checksum|digest|uuid|guid|etag|revision|hash|isbn|order|card|phone)", re.I)
 LINK = re.compile(r"(?:https?:|www\.|://|@|href|src=)", re.I)
+#: A credential's own name, assigned right before the value, with or without a quote.
+NAMED = re.compile(rf"{CREDENTIAL.pattern}[\w.\-]*[\"'`\])]*\s*(?:=>|:=|=|:)\s*(?:bearer\s+)?[\"'`]?$", re.I)
 ASSIGNED = re.compile(r"[\w.\-\"']\s*(?:=>|:=|=|:)\s*[\"'`]?$")
 TESTS = re.compile(r"(?:^|[/_.\-])(?:test|tests|spec|example|examples|sample|fixture|docs?)(?:[/_.\-]|$)", re.I)
 NEAR = 48
@@ -31,6 +35,7 @@ GRAM = 4
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "other", "changes", "longest_letters", "transition", "dictionary", "hex",
     "distinct", "credential", "placeholder", "digest", "link", "assigned", "quoted", "word_before", "test_path", "path_depth",
+    "named",
 )
 _CLASS = np.full(256, 3, np.int64)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 0, 1, 2
@@ -113,6 +118,7 @@ def features(value: str, before: str, after: str, path: str, corpus: Corpus) ->
         float(DIGEST.search(before) is not None), float(LINK.search(before[-16:] + after[:8]) is not None),
         float(ASSIGNED.search(before) is not None), float(before[-1:] in "\"'`" and after[:1] in "\"'`" and before != "" and after != ""),
         float(len(word[-1]) if word else 0), float(TESTS.search(path) is not None), float(path.count("/")),
+        float(NAMED.search(before) is not None),
     ]
 
 
@@ -146,12 +152,13 @@ def find_candidates(docs: DataFrame, corpus: Corpus) -> DataFrame:
 def reviewed(x: Column) -> Column:
     """Label of a finding from review rules: 1 secret, 0 none, null undecided.
 
-    A quoted random value assigned to a credential's name is a secret. A value that mostly reads like
+    A random value assigned to a credential's name, quoted or not, is a secret. A value that mostly reads like
     words, all digits, part of a link or placeholder, or that nothing assigns, is none.
     """
     f = {name: x[i] for i, name in enumerate(FEATURES)}
     random = (f["entropy"] > 3.0) & (f["dictionary"] < 0.4) & (f["digits"].between(0.05, 0.95))
-    secret = (f["credential"] == 1) & (f["assigned"] == 1) & (f["quoted"] == 1) & random & (f["placeholder"] == 0)
+    quoted = (f["credential"] == 1) & (f["assigned"] == 1) & (f["quoted"] == 1)
+    secret = (quoted | ((f["named"] == 1) & (f["link"] == 0))) & random & (f["placeholder"] == 0)
     none = (f["digits"] == 1) | (f["link"] == 1) | (f["dictionary"] > 0.7) | ((f["credential"] == 0) & (f["assigned"] == 0))
     return F.when(secret, 1.0).when(none, 0.0)
 

@@ -330,6 +330,24 @@ def test_forest_removes_false_positives(documents, odd, nothing):
     assert secrets.scan_secrets(nothing).count() == 0 and secrets.scan_secrets(odd).count() == 0
 
 
+FORMS = [
+    "API_KEY={}", "export AWS_SECRET_ACCESS_KEY={}", "run --token={} now", "api_key: {}", "S3_ARCHIVE_SECRET_V2_KEY={}", 'password = "{}"',
+    "AUTH_TOKEN_V2_PRIMARY='{}'", "Authorization: Bearer {}", '{{"secret": "{}"}}',
+]
+
+
+def test_secrets_in_every_form_of_assignment(documents):
+    rng = random.Random(12)
+    key = lambda pad: "".join(rng.sample("0123456789", 4) + rng.sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 18)) + pad
+    keys = {i: key("==" if i % 20 < 10 else "") for i in range(180)}
+    rows = [(i, f"some words\n{FORMS[i % 9].format(k)}\nmore words") for i, k in keys.items()]
+    rows += [(1000 + i, f"see https://host/{key('')} for the words") for i in range(40)]
+    got = secrets.scan_secrets(documents(rows)).collect()
+    assert {(r["doc_id"], r["value"]) for r in got if r["is_secret"]} == set(keys.items())
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in got)
+
+
 def test_forest_learns_given_labels(spark, documents):
     rows = [(i, f"a {'k9' * 10} b") for i in range(20)] + [(100 + i, f"a {'Zq' * 12}7 b") for i in range(20)]
     docs = documents(rows)
