@@ -185,13 +185,13 @@ def span_list(spans: Column, base_only: bool = False) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans a later one keeps what lies beyond those before."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done: Column, s: Column) -> Column:
-        kept = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
+        kept = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - done["at"]).cast("int"))
         parts = F.concat(done["parts"], F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
+        return F.when(s["end"] <= done["at"], done).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
 
     done = F.aggregate(spans, start, step)
     tail = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))

@@ -238,6 +238,16 @@ def test_pii_added_kinds_need_proof(documents):
     assert red[6]["_text"] == "y" and pii.redact(documents(rows)).columns == documents(rows).columns
 
 
+def test_redaction_covers_overlapping_spans(documents):
+    texts = {
+        "call +1 743 555 3824 9jane@mail.org now": "call [PHONE][EMAIL] now", "4111 1111 1111 1111@mail.org": "[CARD][EMAIL]",
+        "é😀 mail a@b.org, ip 10.0.0.1": "é😀 mail [EMAIL], ip [IP]", "x +1 743 555 3824": "x [PHONE]", "none": "none",
+        "+4111111111111111": "+[CARD]",
+    }
+    got = {r["doc_id"]: r["text"] for r in pii.redact(documents(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 # --- SimHash
 
 
