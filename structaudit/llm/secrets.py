@@ -163,6 +163,20 @@ def reviewed(x: Column) -> Column:
     return F.when(secret, 1.0).when(none, 0.0)
 
 
+def training_rows(rows: DataFrame) -> tuple[DataFrame, set[float]]:
+    """What the forest is trained on, of (x, label); and the labels that occur.
+
+    Copies of a finding teach nothing new: one row for each set of features and label, then a fixed
+    draw by the number of those rows.
+    """
+    rows = checkpointed(rows.distinct())
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
+        return rows, set()
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, TRAINING / 2 / n))])
+    return rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("label")]), set(counts)
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, end, value, score, is_secret): every candidate, judged by the forest.
 
@@ -178,15 +192,11 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     else:
         marks = labelled.select(F.col("doc_id").cast("bigint"), F.col("start").cast("bigint"), F.col("label").cast("double"))
         rows = found.join(marks, ["doc_id", "start"]).select("x", "label")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        score = F.lit(next(iter(counts), None)).cast("double")
+    drawn, labels = training_rows(rows)
+    if len(labels) < 2:
+        score = F.lit(next(iter(labels), None)).cast("double")
         out = found.withColumn("score", score)
     else:
-        # Copies of a finding teach nothing new: one row for each set of features and label, then a fixed draw.
-        rows = rows.distinct()
-        share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, TRAINING / 2 / n))])
-        drawn = rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("label")])
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="f", labelCol="label", maxMemoryInMB=128)
         model = forest.fit(drawn.select(array_to_vector("x").alias("f"), "label"))
         judged = model.transform(found.withColumn("f", array_to_vector("x")))

@@ -358,6 +358,14 @@ def test_secrets_in_every_form_of_assignment(documents):
     assert all(text[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in got)
 
 
+def test_training_draws_both_labels_alike_whatever_is_copied(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAINING", 400)
+    rows = [([float(i)], float(i % 2)) for i in range(1_000)] + [([1.0], 1.0)] * 20_000
+    drawn, labels = secrets.training_rows(spark.createDataFrame(rows, "x array<double>, label double"))
+    counts = collections.Counter(r["label"] for r in drawn.collect())
+    assert labels == {0.0, 1.0} and all(140 <= counts[label] <= 260 for label in labels)
+
+
 def test_forest_learns_given_labels(spark, documents):
     rows = [(i, f"a {'k9' * 10} b") for i in range(20)] + [(100 + i, f"a {'Zq' * 12}7 b") for i in range(20)]
     docs = documents(rows)
