@@ -1,8 +1,8 @@
 """WARC captures: a "not modified" revisit gets the latest earlier full response of its URL.
 
-The as-of join runs in slices of time, so no URL, however often it was captured, has all its
-captures sorted in one task: within a slice by a window over (url, slice); across slices by a
-window over one row for each slice.
+The as-of join runs in slices of time of a day: within a slice by a window over (url, slice); across
+slices by a window over one row for each slice. So what one task sorts is bounded by a URL's captures
+within one day, and by nothing else: a URL captured very often in a single day is sorted in one task.
 """
 
 from __future__ import annotations
