@@ -14,11 +14,10 @@ harmed as (
          case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from marked, unnest(case when kind = 3 then [1, 2] else [1] end) u(copy) where kind <> 0),
 listed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
-         row_number() over (partition by conv_id, role, text order by turn nulls first) as nth, left(role, 1) as ini,
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, left(role, 1) as ini,
          regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from harmed),
 judged as (
-  select *, case when bare = '' then 'b' when nth > 1 then 'd' when right(bare, 1) in ('.', '!', '?') then '-' else 't' end as fault,
+  select *, case when bare = '' then 'b' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'd' when right(bare, 1) in ('.', '!', '?') then '-' else 't' end as fault,
          lag(ini) over (partition by conv_id order by pos) || ini as step from listed),
 shifts(s, sym, z) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
 added(s, z, k) as (values (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
