@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structaudit.llm import bpe, decontam, embed, langid, pii, repair, repeats, secrets, shard, simhash, spelling, twins, warc
+from structaudit.llm import bpe, decontam, embed, langid, pii, repair, repeats, secrets, shard, simhash, spelling, toxic, twins, warc
 from structaudit.llm.common import table
 
 
@@ -83,6 +83,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that are not held out."""
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after damage: its faults and the cheapest edits that mend it."""
     return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
@@ -92,7 +97,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_decontamination, op2_bwt_repeats, op3_warc_revisits, op4_feistel_shards, op5_trie_bpe, op6_pii, op7_projections,
-        op8_simhash, op9_language, op10_secrets, op11_spelling, op13_conversation_repair,
+        op8_simhash, op9_language, op10_secrets, op11_spelling, op12_toxicity, op13_conversation_repair,
     )
 }
 
