@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from structaudit.functions import text as tx
@@ -165,3 +166,52 @@ def test_fuzzy_labels_keep_first_candidate_of_a_title(spark):
 def test_fixed_vocabularies_are_regex_safe():
     for words in (tx.SUFFIXES, tx.FRAGMENTS):
         assert all(re.fullmatch("[a-z]+", w) for w in words)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
+def test_suggest_equals_all_pairs(spark, letters):
+    import random
+
+    r = random.Random(5)
+    word = lambda low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))
+    titles = [(word(1, 12), i) for i in range(120)]
+    titles += [(t[:-1] + r.choice(letters), 500 + i) for i, (t, _) in enumerate(titles[:40])]
+    asked = [word(1, 14) for _ in range(60)] + [t for t, _ in titles[:10]]
+    got = {}
+    found = fz.suggest(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame(titles, "title string, ord bigint"), 4)
+    for row in found.collect():
+        got.setdefault(row["query"], {})[row["rank"]] = (row["distance"], row["ord"], row["title"])
+    first = {}
+    for t, o in titles:
+        first[t] = min(o, first.get(t, o))
+    for q in set(asked):
+        reach = max(3, -(-len(q) // 2))
+        want = sorted((_distance(q, t), o, t) for t, o in first.items())
+        want = [w for w in want if 0 < w[0] <= reach][:4]
+        assert [got.get(q, {})[i + 1] for i in range(len(got.get(q, {})))] == want, q
+
+
+def test_rings_propose_few_pairs(spark):
+    """Against a join on the length the first ring proposes next to nothing, and the widest one only what shares a piece."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(8, 14)))
+    norms = [(word(),) for _ in range(1500)]
+    asked = [n[:4] + "q" + n[5:] for (n,) in norms[:300]] + [word() for _ in range(20)]
+    table = spark.createDataFrame(norms, "title_norm string")
+    pairs = {}
+    for radius in (1, 3):
+        ring = spark.createDataFrame([(q, radius) for q in set(asked)], "q string, reach int")
+        pairs[radius] = fz.ring_candidates(ring, table).count()
+    by_length = sum(abs(len(q) - len(n)) <= -(-len(q) // 2) for q in set(asked) for (n,) in norms)
+    assert 300 <= pairs[1] < by_length / 500 and pairs[3] < by_length / 10
