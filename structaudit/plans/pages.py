@@ -84,12 +84,35 @@ def boxes(spark, sf):
     return d.table(spark, sf, "lineitem").selectExpr(*[f"{sql} as {name}" for name, sql in BOX.items()])
 
 
-@query("drawing_regions")
-def drawing_regions(spark, sf):
-    return fg.cluster_regions(boxes(spark, sf))
+BOXES_SQL = "boxes as (select *, row_number() over () as unused from (select " + ", ".join(f"{s} as {n}" for n, s in BOX.items()) + ", l_extendedprice as price from lineitem))"
 
 
-BOXES_SQL = "boxes as (select *, row_number() over () as unused from (select " + ", ".join(f"{s} as {n}" for n, s in BOX.items()) + ", l_extendedprice as price from lineitem))"
+# Each round a box grows over all that is near it, until no box of its layer has grown.
+GROWN_SQL = """
+drawn as (select *, row_number() over (partition by deck, page, layer) as id from (
+  select deck, page, x0, y0, x1, y1, case kind when 'raster' then 'raster' else 'vector' end as layer,
+         case kind when 'raster' then 1 when 'line' then 2 else weight end as weight from boxes where kind in ('raster', 'line', 'curve'))),
+grown(round, deck, page, layer, id, weight, x0, y0, x1, y1, moved) as (
+  select 0, deck, page, layer, id, weight, x0, y0, x1, y1, true from drawn
+  union all
+  select a.round + 1, a.deck, a.page, a.layer, a.id, a.weight, min(b.x0), min(b.y0), max(b.x1), max(b.y1),
+         max((min(b.x0) < a.x0 or min(b.y0) < a.y0 or max(b.x1) > a.x1 or max(b.y1) > a.y1)::int) over (partition by a.deck, a.page, a.layer) = 1
+  from grown a join grown b on a.deck = b.deck and a.page = b.page and a.layer = b.layer
+       and a.x0 - 12 <= b.x1 and b.x0 - 12 <= a.x1 and a.y0 - 12 <= b.y1 and b.y0 - 12 <= a.y1
+  where a.moved group by a.round, a.deck, a.page, a.layer, a.id, a.weight, a.x0, a.y0, a.x1, a.y1),
+merged as (
+  select deck, page, layer, x0, y0, x1, y1, sum(weight)::bigint as weight from grown where not moved group by all)
+"""
+
+
+@query(
+    "drawing_regions",
+    """select *, row_number() over (partition by deck, page order by x0, y0, x1, y1, layer) as region_no
+    from merged where x1 - x0 >= 40 and y1 - y0 >= 40 and (layer = 'raster' or weight >= 6)""",
+    "recursive " + BOXES_SQL, GROWN_SQL,
+)
+def drawing_regions(spark, sf):
+    return fg.cluster_regions(boxes(spark, sf))
 
 
 @query(
