@@ -163,6 +163,32 @@ def recognition_status(reads: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def recognition_outcomes(reads: DataFrame, items: DataFrame) -> DataFrame:
+    """:func:`recognition_status` with its reason, where ``reads`` carry an ``error`` for annotators that failed.
+
+    An item without a result either failed in every annotator that said anything (``failed``), was read as
+    something that is no structure (``unparsed``), or showed nothing to find (``nothing``). A failed annotator
+    never counts as one that found nothing: ``n_failed`` and ``first_error`` stay beside any status.
+    """
+    failed = F.col("error").isNotNull()
+    told = reads.groupBy("item_id").agg(
+        F.count_if(failed).alias("n_failed"), F.count_if(~failed & skeleton(F.col("inchikey")).isNull()).alias("n_unparsed"),
+        F.min("error").alias("first_error"),
+    )
+    # A failed reading names nothing, whatever else it may carry.
+    status = recognition_status(reads.withColumn("inchikey", F.when(~failed, F.col("inchikey"))), items)
+    reason = (
+        F.when(F.col("status") != "no_result", F.col("status"))
+        .when(F.coalesce("n_unparsed", F.lit(0)) > 0, "unparsed")
+        .when(F.coalesce("n_failed", F.lit(0)) > 0, "failed")
+        .otherwise("nothing")
+    )
+    return status.join(told, "item_id", "left").select(
+        "item_id", "status", reason.alias("reason"), "n_families", F.coalesce("n_failed", F.lit(0)).alias("n_failed"),
+        F.coalesce("n_unparsed", F.lit(0)).alias("n_unparsed"), "first_error", "answer_key",
+    )
+
+
 def stable_reads(reads: DataFrame) -> DataFrame:
     """One reading per family that agrees with itself; a family that wavers drops out."""
     families = family_reads(reads, skeleton_or_key(F.col("inchikey")))

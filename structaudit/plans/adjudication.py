@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from structaudit.functions import keys as k
@@ -11,6 +13,7 @@ from structaudit.operators import evaluate as ev
 from structaudit.operators import labels as lb
 from structaudit.plans import derived as d
 from structaudit.plans.derived import READS_SQL, with_cte
+from structaudit.sources.annotators import annotate
 
 QUERIES, SQL = {}, {}
 
@@ -124,6 +127,70 @@ def recognition_status(spark, sf):
     return ag.recognition_status(d.reads(spark, sf), d.items(spark, sf))
 
 
+def _letters(value, n: int) -> str:
+    return hashlib.md5(str(value).encode()).hexdigest()[:n].translate(str.maketrans("0123456789abcdef", "ABCDEFGHIJKLMNOP"))
+
+
+def _key(value) -> str:
+    return f"{_letters(value, 14)}-{_letters('base', 8)}SA-N"
+
+
+class _ByCustomer:
+    """An annotator over orders that times out on some, finds nothing on some, and names no structure on some."""
+
+    name = "readera/v1"
+
+    def read(self, item):
+        k = item["o_custkey"]
+        if k % 11 == 0:
+            raise TimeoutError("no answer")
+        if k % 7 == 0:
+            return []
+        return [("C*C", None, 0.5)] if k % 5 == 0 else [("CC", _key(k % 50), (70 + k % 30) / 100)]
+
+
+class _ByOrder:
+    """An annotator that says why it returned nothing where it ran out of memory."""
+
+    name = "readerb"
+    last_error = None
+
+    def read(self, item):
+        k = item["o_orderkey"]
+        self.last_error = "out of memory" if k % 13 == 0 else None
+        if self.last_error or k % 3 == 0:
+            return []
+        return [("CCO", _key(item["o_custkey"] % 50 if k % 4 else k % 50), float("nan"))]
+
+
+@query(
+    "annotator_outcomes",
+    f"""select o.item_id, status, case when status <> 'no_result' then status when coalesce(n_unparsed, 0) > 0 then 'unparsed' when coalesce(n_failed, 0) > 0 then 'failed' else 'nothing' end as reason,
+      coalesce(n_fam, 0) as n_families, coalesce(n_failed, 0) as n_failed, coalesce(n_unparsed, 0) as n_unparsed, first_error, case when status = 'agreed' then best end as answer_key
+    from (
+      select p.o_orderkey as item_id, case when coalesce(n_sk, 0) = 0 then 'no_result' when n_sk > 1 then 'uncertain' when n_fam < 2 then 'single' else 'agreed' end as status,
+             n_fam, n_failed, n_unparsed, first_error, best
+      from orders p left join (
+        select item_id, count(distinct left(inchikey, 14)) as n_sk, count(distinct family) filter (where inchikey is not null) as n_fam, count(error) as n_failed,
+               count(*) filter (where error is null and inchikey is null) as n_unparsed, min(error) as first_error,
+               arg_max(inchikey, row(confidence, family <> 'readerb')) filter (where inchikey is not null) as best
+        from said group by 1) s on s.item_id = p.o_orderkey) o""",
+    f"""said as (
+      select o_orderkey as item_id, 'readera' as family, case when o_custkey % 11 = 0 then 'TimeoutError: no answer' end as error,
+             case when o_custkey % 11 <> 0 and o_custkey % 5 <> 0 then {d.key('o_custkey % 50', "'base'", 'varchar')} end as inchikey,
+             cast(70 + o_custkey % 30 as double) / 100 as confidence
+      from orders where o_custkey % 11 = 0 or o_custkey % 7 <> 0
+      union all
+      select o_orderkey, 'readerb', case when o_orderkey % 13 = 0 then 'out of memory' end,
+             case when o_orderkey % 13 <> 0 then {d.key('case when o_orderkey % 4 <> 0 then o_custkey % 50 else o_orderkey % 50 end', "'base'", 'varchar')} end, -1
+      from orders where o_orderkey % 13 = 0 or o_orderkey % 3 <> 0)""",
+)
+def annotator_outcomes(spark, sf):
+    orders = d.table(spark, sf, "orders").withColumn("item_id", F.col("o_orderkey"))
+    said = annotate(orders, {"a": _ByCustomer, "b": _ByOrder}, ["o_orderkey", "o_custkey"])
+    return ag.recognition_outcomes(said, orders.select("item_id"))
+
+
 @query(
     "best_per_family",
     """select item_id, family, arg_max(inchikey, row(conf, -read_no)) as inchikey,
