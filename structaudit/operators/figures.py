@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structaudit.functions import boxes as bx
@@ -193,3 +193,39 @@ def cluster_regions(
     order = [F.asc(c) for c in ("x0", "y0", "x1", "y1", "layer")]
     # Regions of a layer are 40 points wide and 12 apart, so a page holds a few hundred at most.
     return numbered(kept, ["deck", "page"], order, "region_no")
+
+
+def near_boxes(boxes: DataFrame, gap: float = bx.CLUSTER_GAP, cell: float = 64.0) -> DataFrame:
+    """For every box of a (deck, page): how many others are near, and the nearest of them.
+
+    ``boxes(deck, page, box_id, x0, y0, x1, y1)``. Near as in :func:`structaudit.functions.boxes.is_near`; the nearest
+    has the smallest gap (``distance``, zero where boxes overlap), then the smallest id. Boxes of one place are merged
+    first and count as often as they occur. A box enters every cell of a grid that it touches once it has grown by half
+    the gap; two boxes are met in the one cell that holds the upper left corner of what they share, so no pair comes
+    twice. Pairs are folded into counts as they are met. Boxes without a side of their own stay points.
+    """
+    page, sides = ["deck", "page"], ["x0", "y0", "x1", "y1"]
+    ids = boxes.select(*page, "box_id", *[F.col(c).cast("double").alias(c) for c in sides])
+    places = ids.groupBy(*page, *sides).agg(F.count("*").alias("n"), F.min("box_id").alias("low"))
+    half = gap / 2
+
+    def cells(low: str, high: str, name: str) -> Column:
+        ends = F.floor((F.col(low) - half) / cell), F.floor((F.col(high) + half) / cell)
+        return F.explode(F.sequence(*ends)).alias(name)
+
+    grid = places.select("*", cells("x0", "x1", "cx")).select("*", cells("y0", "y1", "cy"))
+    other = grid.select(*page, "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in (*sides, "n", "low")])
+    corner = [F.floor((F.greatest(f"{c}0", f"o_{c}0") - half) / cell) == F.col(f"c{c}") for c in ("x", "y")]
+    mine, theirs = F.struct(*sides), F.struct(*[F.col(f"o_{c}").alias(c) for c in sides])
+    met = grid.join(other, [*page, "cx", "cy"]).where(corner[0] & corner[1] & bx.is_near(mine, theirs, gap) & (mine != theirs))
+    apart = [F.greatest(F.lit(0.0), F.col(f"o_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"o_{c}1")) for c in ("x", "y")]
+    distance = F.sqrt(apart[0] * apart[0] + apart[1] * apart[1])
+    found = met.groupBy(*page, *sides).agg(F.sum("o_n").alias("n_other"), F.min(F.struct(distance.alias("distance"), F.col("o_low").alias("id"))).alias("best"))
+    # Of several boxes in one place each has the others at distance zero: the lowest id, or for that one the next.
+    second = ids.join(places.where("n > 1"), [*page, *sides]).where("box_id > low").groupBy(*page, *sides).agg(F.min("box_id").alias("next"))
+    told = places.join(found, [*page, *sides], "left").join(second, [*page, *sides], "left")
+    same = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("distance"), F.when(F.col("box_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("id")))
+    nearest = F.least(same, F.col("best"))
+    return ids.join(told, [*page, *sides]).select(
+        *page, "box_id", (F.coalesce("n_other", F.lit(0)) + F.col("n") - 1).alias("n_near"), nearest["id"].alias("nearest"), nearest["distance"].alias("distance"),
+    )

@@ -84,6 +84,28 @@ def boxes(spark, sf):
     return d.table(spark, sf, "lineitem").selectExpr(*[f"{sql} as {name}" for name, sql in BOX.items()])
 
 
+NEAR_SQL = "placed as (select l_orderkey * 8 + l_linenumber as box_id, " + ", ".join(f"{BOX[n]} as {n}" for n in ("deck", "page", "x0", "y0", "x1", "y1")) + (
+    " from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from lineitem group by 1, 2))"
+)
+
+
+@query(
+    "near_boxes",
+    """select a.deck, a.page, a.box_id, count(b.box_id) as n_near, arg_min(b.box_id, row(distance, b.box_id)) as nearest, round(min(distance), 9) as distance
+    from placed a left join lateral (
+      select box_id, sqrt(power(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + power(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2)) as distance
+      from placed b where a.deck = b.deck and a.page = b.page and a.box_id <> b.box_id
+        and a.x0 - 12 <= b.x1 and b.x0 - 12 <= a.x1 and a.y0 - 12 <= b.y1 and b.y0 - 12 <= a.y1) b on true
+    group by a.deck, a.page, a.box_id""",
+    NEAR_SQL,
+)
+def near_boxes(spark, sf):
+    # A line number may occur twice in an order; as elsewhere it is one line then.
+    lines = d.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    rows = lines.selectExpr("l_orderkey * 8 + l_linenumber as box_id", *[f"{BOX[n]} as {n}" for n in ("deck", "page", "x0", "y0", "x1", "y1")])
+    return fg.near_boxes(rows).withColumn("distance", F.round("distance", 9))
+
+
 BOXES_SQL = "boxes as (select *, row_number() over () as unused from (select " + ", ".join(f"{s} as {n}" for n, s in BOX.items()) + ", l_extendedprice as price from lineitem))"
 
 

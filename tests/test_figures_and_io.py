@@ -227,3 +227,23 @@ def test_dedupe_stream_keeps_one_copy(spark, tmp_path):
              .trigger(availableNow=True).start())
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("deck").count().orderBy("deck").collect() == [("d", 2), ("e", 1)]
+
+
+def test_near_boxes_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i % 2, 1, i, *(lambda x, y: (x, y, x + r.choice([0.0, 3.0, 20.0, 150.0]), y + r.choice([0.0, 5.0, 90.0])))(r.randint(-40, 200) * 1.0, r.randint(0, 200) * 1.0)) for i in range(160)]
+    rows += [(0, 1, 900 + i, 64.0, 64.0, 64.0, 64.0) for i in range(3)] + [(3, 1, 1000, 1.0, 1.0, 2.0, 2.0)]
+    want = {}
+    for deck, page, i, x0, y0, x1, y1 in rows:
+        near = []
+        for d2, p2, j, a0, b0, a1, b1 in rows:
+            dx, dy = max(0, a0 - x1, x0 - a1), max(0, b0 - y1, y0 - b1)
+            if (deck, page) == (d2, p2) and i != j and dx <= 12 and dy <= 12:
+                near.append((round((dx * dx + dy * dy) ** 0.5, 6), j))
+        want[i] = (len(near), min(near)[1] if near else None, min(near)[0] if near else None)
+    df = spark.createDataFrame(rows, "deck int, page int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    for cell in (7.0, 64.0, 1000.0):
+        got = {row["box_id"]: (row["n_near"], row["nearest"], None if row["distance"] is None else round(row["distance"], 6)) for row in fg.near_boxes(df, cell=cell).collect()}
+        assert got == want
