@@ -44,15 +44,52 @@ def dictionary_rows(json_text: Column) -> Column:
     return F.explode(parsed["entries"])
 
 
+#: A record of a dictionary document up to its closing brace: the first one behind the document's head, the others behind a comma.
+_NAME, _RECORD = r'("(?:[^"\\]|\\.)*+")', r"(\{[^{}]*+)"
+_HEAD = rf'(?s)^\s*\{{[^{{}}]*"entries"\s*:\s*\{{\s*{_NAME}\s*:\s*{_RECORD}$'
+_NEXT = rf"(?s)^\s*,\s*{_NAME}\s*:\s*{_RECORD}$"
+
+
+def _dictionary_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary document cut at its closing braces: (kind, name, record). The cuts let several tasks read one file."""
+    text = F.col("value")
+    quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '[^"]', ""))
+    found = F.when(text.rlike(_HEAD), F.lit(_HEAD)).when(text.rlike(_NEXT), F.lit(_NEXT))
+    pieces = spark.read.text(path, lineSep="}").select(text, found.alias("form"), (quotes % 2).alias("open"))
+    name = F.coalesce(*[F.when(F.col("form") == form, F.regexp_extract(text, form, 1)) for form in (_HEAD, _NEXT)])
+    record = F.coalesce(*[F.when(F.col("form") == form, F.concat(F.regexp_extract(text, form, 2), F.lit("}"))) for form in (_HEAD, _NEXT)])
+    parsed = F.try_parse_json(record).isNotNull()
+    kind = (
+        F.when(F.col("open") == 1, "broken").when((F.col("form") == _HEAD) & parsed, "first").when((F.col("form") == _NEXT) & parsed, "next")
+        .when(F.col("form").isNull() & ~F.contains(text, F.lit("{")), "rest").otherwise("broken")
+    )
+    return pieces.select(kind.alias("kind"), name.alias("name"), record.alias("record"))
+
+
+def _cuts_fit(pieces: DataFrame) -> bool:
+    """Whether the pieces are one whole document: one head, nothing broken, and both outer braces closed."""
+    n = {r["kind"]: r["n"] for r in pieces.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    return n.get("first") == 1 and "broken" not in n and n.get("rest", 0) in (2, 3)
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Dictionary files: ``{"entries": {name: record}}`` as JSON, or Parquet rows. A JSON file
-    that is missing or cannot be parsed is an empty table; a Parquet path that cannot be read is an error."""
+    that is missing or cannot be parsed is an empty table; a Parquet path that cannot be read is an error.
+
+    A JSON document of any size is read in pieces by several tasks, if braces only open and close its
+    records. One that is cut otherwise (braces in a name, say) is parsed whole by one task.
+    """
     columns = ["name_key", "inchikey", "formula", "smiles", "iupac", "title", "cid"]
     if not path.endswith(".json"):
         return spark.read.schema(f"name_key string, {RECORD}").parquet(path)
     try:
-        text = spark.read.text(path, wholetext=True)
-        rows = text.select(dictionary_rows(F.col("value")).alias("name", "record"))
+        pieces = _dictionary_pieces(spark, path)
+        if _cuts_fit(pieces):
+            name = F.from_json(F.concat(F.lit("["), "name", F.lit("]")), "array<string>")[0]
+            rows = pieces.where("record is not null").select(name.alias("name"), F.from_json("record", RECORD).alias("record"))
+        else:
+            text = spark.read.text(path, wholetext=True)
+            rows = text.select(dictionary_rows(F.col("value")).alias("name", "record"))
         return rows.select(F.lower(F.trim("name")).alias("name_key"), "record.*").select(*columns)
     except AnalysisException:
         return spark.createDataFrame([], f"name_key string, {RECORD}")

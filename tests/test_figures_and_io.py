@@ -247,3 +247,50 @@ def test_near_boxes_equal_all_pairs(spark):
     for cell in (7.0, 64.0, 1000.0):
         got = {row["box_id"]: (row["n_near"], row["nearest"], None if row["distance"] is None else round(row["distance"], 6)) for row in fg.near_boxes(df, cell=cell).collect()}
         assert got == want
+
+
+def _dictionary_document(entries, **more):
+    import json
+
+    return json.dumps({"count": len(entries), "entries": entries, "generated": "2024-01-01", **more}, ensure_ascii=False, indent=1, sort_keys=True)
+
+
+def _entry(i, **more):
+    return {"cid": i, "formula": "C2H6", "inchikey": f"K{i}", "iupac": f"it's \"{i}\", 물\\", "smiles": "C\\C", "title": None, **more}
+
+
+def test_large_dictionary_is_read_by_several_tasks(spark, tmp_path):
+    from structaudit.sources import readers
+
+    path = tmp_path / "large.json"
+    entries = {f'Name "{i}" \\': _entry(i) for i in range(6000)}
+    path.write_text(_dictionary_document(entries, source="x"), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024))
+    try:
+        found = readers.read_dictionary(spark, str(path))
+        assert found.rdd.getNumPartitions() > 3
+        rows = {r["name_key"]: r.asDict() for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.text(str(path), wholetext=True).select(readers.dictionary_rows(F.col("value")).alias("name", "record"))
+    want = {r["name"].strip().lower(): r["record"].asDict() for r in whole.collect()}
+    assert len(rows) == 6000 and {k: {c: v[c] for c in v if c != "name_key"} for k, v in rows.items()} == want
+
+
+def test_dictionaries_that_cannot_be_cut(spark, tmp_path):
+    from structaudit.sources import readers
+
+    def read(text):
+        path = tmp_path / f"{abs(hash(text))}.json"
+        path.write_text(text, encoding="utf-8")
+        return sorted((r["name_key"], r["cid"]) for r in readers.read_dictionary(spark, str(path)).collect())
+
+    good = _dictionary_document({"a": _entry(1), "b": _entry(2)})
+    assert read(good) == read(good + "\n") == read(good.replace("\n", "")) == [("a", 1), ("b", 2)]
+    assert read(_dictionary_document({"a}": _entry(1), "{b": _entry(2, iupac="1-{4-[x]}")})) == [("a}", 1), ("{b", 2)]
+    assert read(_dictionary_document({"a": _entry(1)}, more={"x": {"y": 1}})) == [("a", 1)]
+    assert read(_dictionary_document({})) == [] and read("") == [] and read("[1, 2]") == []
+    # Cut off behind a record, inside one, and inside a string: not a document.
+    for end in (good.index("}") + 1, good.index("}") - 5, good.index("formula") + 3):
+        assert read(good[:end]) == []
