@@ -257,7 +257,8 @@ def judge_service(requests: DataFrame) -> DataFrame:
     ``requests(request_id, name, ref_name, ref_key, ref_formula, ref_smiles, reads)`` where
     ``reads`` is an array of (engine, raw, inchikey, confidence) and the ``ref_*`` columns are
     NULL for an unresolved name. Adds ``verdict``, ``grade``, ``primary`` and ``reasons``
-    (codes, in order).
+    (codes, in order); where valid readings differ in the skeleton also ``split_reads``, what each of
+    them read, and ``winner``, the reader whose skeleton is the name's, if there is one.
     """
     reads, valid = F.col("reads"), F.col("_valid")
     ref_skeleton = skeleton(F.col("ref_key"))
@@ -314,6 +315,8 @@ def judge_service(requests: DataFrame) -> DataFrame:
         .withColumn("verdict", verdict)
         .withColumn("grade", grade)
         .withColumn("reasons", reasons)
+        .withColumn("split_reads", F.when(F.col("_split"), F.transform("_valid", lambda r: F.struct(r["engine"].alias("engine"), skeleton(r["inchikey"]).alias("skeleton")))))
+        .withColumn("winner", F.when(F.col("_split"), F.get("_agreeing", F.lit(0))["engine"]))
         .withColumn("rule", F.col("_rule"))
         .drop("_valid", "_agreeing", "_split", "_ref_formula", "_nonsense", "_rule")
         .withColumnRenamed("_read_formula", "read_formula")
@@ -321,7 +324,14 @@ def judge_service(requests: DataFrame) -> DataFrame:
 
 
 def check_response(judged: DataFrame) -> DataFrame:
-    """The frozen response contract as one JSON string per request."""
+    """The frozen response contract as one JSON string per request.
+
+    On a split the reasons also say, before the rule, who read which skeleton and, after it, who is right.
+    """
+    told = F.transform("split_reads", lambda r: F.concat_ws(":", F.lit("read_as"), r["engine"], r["skeleton"]))
+    winner = F.array_compact(F.array(F.concat(F.lit("winner:"), F.col("winner"))))
+    marks = F.filter("reasons", lambda r: r != F.col("rule"))
+    reasons = F.when(F.col("split_reads").isNotNull(), F.concat(marks, told, F.array("rule"), winner)).otherwise(F.col("reasons"))
     engine = F.transform(
         F.coalesce("reads", F.array()),
         lambda r: F.struct(
@@ -353,6 +363,6 @@ def check_response(judged: DataFrame) -> DataFrame:
             F.col("read_formula").alias("heavy_formula"),
             engine.alias("engines"),
         ).alias("read"),
-        "reasons",
+        reasons.alias("reasons"),
     )
     return judged.select("request_id", "verdict", "grade", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))

@@ -28,7 +28,7 @@ def part_name(part: str, text: str) -> str:
 def elements(spark, sf):
     """(deck, page, pos, text): captions come with white space around them, as text boxes do."""
     items = d._truth_parts(d.table(spark, sf, "lineitem"))
-    orders = d.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(
+    orders = d.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("item_id"), F.col("o_custkey").cast("bigint").alias("page")
     )
     caption = F.expr(f"concat('\\n ', {part_name(CLAIMED, 'string')}, '\\t\\n')")
@@ -61,7 +61,7 @@ PAGES_SQL = rf"""
 pieces as (
   select doc_id as page, 0 as pos, text from docs
   union all select o_custkey, o_orderkey + 1, concat(chr(10), ' ', {part_name(CLAIMED, 'varchar')}, chr(9), chr(10))
-  from orders join t on item_id = o_orderkey where o_orderkey % 3 = 0),
+  from orders join t on item_id = o_orderkey),
 stripped as (select page, pos, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as text from pieces),
 pagetext as (select page as doc_id, string_agg(text, chr(10) order by pos) as text, sum(length(text)) as text_chars
              from stripped where text <> '' group by 1)

@@ -203,6 +203,24 @@ def check_responses(spark, sf):
     )
 
 
+@query(
+    "split_readings",
+    """select rid as request_id, string_agg('read_as:' || engine || ':' || left(inchikey, 14), ';' order by i) as pairs,
+      arg_min('winner:' || engine, i) filter (where left(inchikey, 14) = left(ref_key, 14)) as winner
+    from judged join (select rid, i, engine, inchikey from rv where mark is null and inchikey is not null) v using (rid)
+    where n_valid >= 2 and n_sk > 1 group by rid, ref_key""",
+    REQUESTS_SQL,
+)
+def split_readings(spark, sf):
+    """Who read what where readings part, as the responses tell it."""
+    reasons = F.from_json("response", "reasons array<string>")["reasons"]
+    told = ad.check_response(answered(spark, sf)).select("request_id", reasons.alias("reasons"))
+    pairs = F.filter("reasons", lambda r: r.startswith("read_as:"))
+    return told.where(F.size(pairs) > 0).select(
+        "request_id", F.array_join(pairs, ";").alias("pairs"), F.get(F.filter("reasons", lambda r: r.startswith("winner:")), F.lit(0)).alias("winner"),
+    )
+
+
 @query(
     "corpus_summary",
     """select crop, model, count(*) as n, count(*) filter (where verdict = 'mismatch') as mismatch, count(*) filter (where verdict = 'match') as match,
