@@ -214,11 +214,13 @@ def check_responses(spark, sf):
 def split_readings(spark, sf):
     """Who read what where readings part, as the responses tell it."""
     reasons = F.from_json("response", "reasons array<string>")["reasons"]
-    told = ad.check_response(answered(spark, sf)).select("request_id", reasons.alias("reasons"))
-    pairs = F.filter("reasons", lambda r: r.startswith("read_as:"))
-    return told.where(F.size(pairs) > 0).select(
-        "request_id", F.array_join(pairs, ";").alias("pairs"), F.get(F.filter("reasons", lambda r: r.startswith("winner:")), F.lit(0)).alias("winner"),
+    # Exploded, so that a response is put together once however often its reasons are asked for.
+    told = ad.check_response(answered(spark, sf)).select("request_id", F.posexplode(reasons).alias("at", "reason"))
+    pair = F.when(F.col("reason").startswith("read_as:"), F.struct("at", "reason"))
+    found = told.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(pair)).alias("pairs"), F.max(F.when(F.col("reason").startswith("winner:"), F.col("reason"))).alias("winner")
     )
+    return found.where(F.size("pairs") > 0).select("request_id", F.array_join("pairs.reason", ";").alias("pairs"), "winner")
 
 
 @query(
