@@ -115,7 +115,9 @@ def agreement(reads: DataFrame) -> DataFrame:
     )
     order = [F.desc("n_families"), F.desc(F.coalesce("confidence", F.lit(-1.0))), F.asc("first_no")]
     ahead = F.struct(-F.col("n_families"), -F.coalesce("confidence", F.lit(-1.0)))
-    return numbered(candidates, ["item_id"], order, "rank", [ahead])
+    # Candidates of one reader without scores are all alike to ``ahead``; their numbers cut them further.
+    finer = F.struct(-F.col("n_families"), -F.coalesce("confidence", F.lit(-1.0)), F.floor(F.col("first_no") / 4096))
+    return numbered(candidates, ["item_id"], order, "rank", [finer, ahead])
 
 
 def candidate_contrasts(candidates: DataFrame) -> DataFrame:

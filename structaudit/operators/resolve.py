@@ -37,6 +37,15 @@ def resolve_exact(queries: DataFrame, dict_df: DataFrame) -> DataFrame:
     return asked.join(dict_df, "name_key")
 
 
+def lookup_each(rows: DataFrame, dict_df: DataFrame) -> DataFrame:
+    """``rows`` (with a ``query``) beside the dictionary row of that name: one pass over ``rows``, which is not made distinct first.
+
+    For rows that are few per name, or cost more to make than to look up. The names of a dictionary written by
+    :func:`structaudit.sources.writers.write_dictionary_table` are not shuffled.
+    """
+    return rows.withColumn("name_key", name_key(F.col("query"))).join(dict_df, "name_key")
+
+
 def effective_dictionary(shipped: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """What a lookup sees per name: the cache first, then the shipped table.
 

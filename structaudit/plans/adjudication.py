@@ -58,6 +58,20 @@ def key_columns(spark, sf):
     )
 
 
+@query(
+    "token_confidence",
+    """select l_orderkey as item_id, l_linenumber as read_no, n, round(case when n = 3 then (l_discount + l_tax + 0.5::double) / 3 when n = 1 then l_tax end, 9) as confidence
+    from (select l_orderkey, l_linenumber, l_discount::double as l_discount, l_tax::double as l_tax, case l_linenumber % 3 when 0 then 3 when 1 then 1 else 0 end as n from lineitem)""",
+)
+def token_confidence(spark, sf):
+    """A reading's confidence from its tokens' probabilities; a line has three tokens, one or none."""
+    tokens = F.expr(
+        "case l_linenumber % 3 when 0 then array(cast(l_discount as double), cast(l_tax as double), 0.5D) when 1 then array(cast(l_tax as double)) else cast(array() as array<double>) end"
+    )
+    lines = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("read_no"), tokens.alias("tokens"))
+    return lines.select("item_id", "read_no", F.size("tokens").alias("n"), F.round(k.mean_token_confidence(F.col("tokens")), 9).alias("confidence"))
+
+
 @query(
     "key_diff_mask",
     """select item_id, read_no, list_aggregate(list_transform(range(1, 28),

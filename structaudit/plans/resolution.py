@@ -78,8 +78,7 @@ def dictionary_hits(spark, sf):
     found = d.table(spark, sf, "documents").select(
         "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))).alias("query")
     )
-    known = rs.resolve_exact(found.select("query"), d.dictionary(spark, sf)).select("query", "inchikey")
-    return found.join(known, "query").select("doc_id", "inchikey").distinct()
+    return rs.lookup_each(found, d.dictionary(spark, sf)).select("doc_id", "inchikey").distinct()
 
 
 @query("spelling_variants", "select * from variants", DOC_WORDS_SQL, DRESSED_SQL, VARIANTS_SQL)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from structaudit.functions.keys import json_confidence
@@ -35,6 +37,29 @@ def write_dictionary(df: DataFrame, path: str, source: str, generated: str) -> N
     meta.write.mode("overwrite").json(f"{path}/meta")
 
 
+def write_dictionary_table(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    """The dictionary as table ``name``, bucketed and sorted by name: a lookup shuffles the names asked for, never the table."""
+    (
+        df.repartition(buckets, "name_key").write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, "name_key").sortBy("name_key").saveAsTable(name)
+    )
+
+
+def write_gated(outcomes: DataFrame, path: str, arms: Sequence[str], worst: str = "confident_wrong") -> dict[str, bool]:
+    """Store outcomes (arm, outcome, ...) and say for each of ``arms`` whether nothing of the worst kind happened.
+
+    The counts are observed while the rows are written, so the gate costs no pass of its own. An arm
+    without rows has not passed.
+    """
+    seen = Observation("gate")
+    is_arm = {arm: F.col("arm") == arm for arm in arms}
+    counts = [F.count_if(test).alias(f"rows_{i}") for i, test in enumerate(is_arm.values())]
+    bad = [F.count_if(test & (F.col("outcome") == worst)).alias(f"bad_{i}") for i, test in enumerate(is_arm.values())]
+    outcomes.observe(seen, *counts, *bad).write.mode("overwrite").parquet(path)
+    told = seen.get
+    return {arm: told[f"rows_{i}"] > 0 and told[f"bad_{i}"] == 0 for i, arm in enumerate(arms)}
+
+
 def write_scored(df: DataFrame, path: str) -> None:
     """One JSON line per scored image."""
     df.write.mode("overwrite").json(path)
