@@ -152,7 +152,7 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["feature", "n"])
 
 
-def train(docs: DataFrame) -> Model | None:
+def fit(docs: DataFrame) -> Model | None:
     """A model from rows with a language that are not held out; None if there are none."""
     learn = text_rows(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     by_lang = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
@@ -224,3 +224,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = text_rows(docs).select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+#: The name corpus_pipeline.py still calls.
+train = fit

@@ -45,8 +45,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [pii.kind_count(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone", "iban", "national")]
     return found.select(
-        "doc_id", *counts, pii.digest(pii.span_list(F.col("spans"), base_only=True)).alias("base_sha256"),
+        "doc_id", *counts[:4], pii.digest(pii.span_list(F.col("spans"), base_only=True)).alias("base_sha256"),
         pii.span_list(F.col("spans")).alias("spans"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
+        *counts[4:],
     )
 
 
@@ -69,7 +70,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(docs))
+    return langid.identify(docs, langid.fit(docs))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

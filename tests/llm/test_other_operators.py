@@ -114,7 +114,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
     rows = {r["doc_id"]: r for r in docs.collect()}
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "decontamination", "personal_data", "encoding"]
-    good = {r["doc_id"] for r in langid.identify(docs, langid.train(docs)).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE}
+    good = {r["doc_id"] for r in langid.identify(docs, langid.fit(docs)).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE}
     one = docs.where(docs.doc_id.isin(sorted(good)))
     groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(one).collect()}
     single = {i for i in good if groups[i] == i}

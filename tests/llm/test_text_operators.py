@@ -310,7 +310,7 @@ def test_simhash_odd_rows(odd, nothing):
 
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = langid.identify(docs.drop("lang", "source"), langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    found = langid.identify(docs.drop("lang", "source"), langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
     held = [r for r in found if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
@@ -318,10 +318,10 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_language_odd_rows(odd, nothing, documents):
-    model = langid.train(documents([(i, "the cat sat on it" if i % 2 else "der hund war nicht da") for i in range(60)], lang=lambda i, t: "en" if i % 2 else "de"))
+    model = langid.fit(documents([(i, "the cat sat on it" if i % 2 else "der hund war nicht da") for i in range(60)], lang=lambda i, t: "en" if i % 2 else "de"))
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(odd, model).collect()]
     assert len(got) == 9 and {i for i, lang, _ in got if lang == "und"} == {1, 2, 3} and all(s == 0 for _, lang, s in got if lang == "und")
-    assert langid.train(odd) is None and {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
+    assert langid.fit(odd) is None and {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
     assert langid.identify(nothing, model).count() == 0
 
 
