@@ -21,13 +21,18 @@ LEAST_SCORE = 0.3
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    """``docs`` without those whose doc_id is in ``ids``. A row travels as one struct beside the id, so no column can
+    clash; rows without an id stay where they are and are not dealt out for the join."""
+    gone = ids.where("doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("row.doc_id is not null")
+    kept = named.join(gone, F.col("row.doc_id").cast("bigint") == F.col("gone"), "left_anti").union(rows.where("row.doc_id is null"))
+    return kept.select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was recognised; those without a letter and the doubtful go."""
-    found = langid.identify(docs, langid.train(docs))
+    found = langid.identify(docs, langid.fit(docs))
     return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
