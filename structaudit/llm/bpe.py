@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from structaudit.llm.common import slices, text_rows
 
@@ -67,6 +68,12 @@ class WordBpe:
         self.starts = {t: self._made_of(t, 0) for t in usable}
         self.beginnings = {t[:n] for t in (u.removesuffix(END) for u in usable) for n in range(1, len(t) + 1)}
         self.borders: dict[tuple[str, str], bool] = {}
+        #: The file's normalizer and the first of its pre-tokenizers, which cuts words; the second only spells bytes.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        first = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.splitter = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
+        self.alike: set[str] = set()
+        self.unlike: set[str] = set()
         self.known: dict[str, tuple[str, str, int]] = {}
         self.older: dict[str, tuple[str, str, int]] = {}
 
@@ -151,11 +158,28 @@ class WordBpe:
         return found
 
     def split(self, text: str) -> list[str]:
-        """Words of a text without special tokens, in lower case."""
-        if not text.isascii():
-            # Letters one by one: a final sigma is not told apart.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+        """Words of a text without special tokens, in lower case.
+
+        Python's Unicode tables are not the tokenizer's: a few code points are letters, or have a lower
+        case, in one of them alone. Each code point is tried against the tokenizer's own steps when it
+        is first met in a worker, and texts with one that differs are split by those steps.
+        """
+        if text.isascii():
+            return WORDS.findall(text.lower())
+        met = set(text)
+        for c in met - self.alike:
+            probe = f"a{c}a {c}{c} {c}1{c}"
+            if c not in self.unlike:
+                (self.alike if self._split(probe) == self._as_the_file_says(probe) else self.unlike).add(c)
+        return self._split(text) if self.unlike.isdisjoint(met) else self._as_the_file_says(text)
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        # Letters one by one: a final sigma is not told apart.
+        return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _as_the_file_says(self, text: str) -> list[str]:
+        return [word for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def parts(self, text: str) -> list[tuple[bool, list[str]]]:
         """The text's words, and its special tokens where they stand: (is special, words)."""
