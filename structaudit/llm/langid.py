@@ -224,6 +224,3 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = text_rows(docs).select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
-
-#: The name corpus_pipeline.py still calls.
-train = fit
