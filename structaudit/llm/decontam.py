@@ -1,13 +1,15 @@
-"""Benchmark decontamination: n-gram seeds propose, Smith-Waterman alignment decides.
-
-Test items are cut into pieces of bounded length, and every n-gram of a piece is a seed. A choice of
-the rarest by corpus counts would lose edited copies: what an edit destroyed is the rarest there,
-whether it occurs nowhere or only in an unedited copy elsewhere. So any NGRAM unchanged words in a
-row propose a copy; one without such a run is not proposed. Where a seed occurs in a document, the
-words around it are aligned with the piece by words.
-
-Items are the stated query set. They are taken in blocks of bounded size, and each block is set
-against all documents; the blocks together give the same rows as one block of everything.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment decides.
+
+Items are cut into pieces of at most PIECE words. A seed is a pair of words one or two apart in the piece, and
+it hits where the pair stands one or two apart in a document: one word between them may be replaced, added or left out.
+An alignment of at least half the best score has, in a piece of L words, L/2 - 1 neighbouring matches with one edit
+at most between them, each beginning at a place of its own. So the commonest places of a piece (by counts
+over all documents) need no seeds, and a passage must still be hit at some of the others: rarity saves work
+and loses no copy, whatever the counts are.
+
+Documents are read twice: once to count the pairs that items hold, once for the passages that seeds hit. What is
+broadcast is a bitmap of BITS bits however many items there are; it only saves shuffling, as the join by equal pairs decides.
+Equal passages are aligned once, and so are equal pieces.
 """
 
 from __future__ import annotations
@@ -18,85 +20,91 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from structaudit.llm.common import slices, text_rows
+from structaudit.llm.common import checkpointed, slices, text_rows
 
-NGRAM = 3
-#: Words of a piece; longer items overlap by half. Pieces below ``SHORTEST`` words are not test text.
-PIECE, SHORTEST = 128, 8
+#: Words of a piece; longer items overlap by half. Pieces below ``SHORTEST`` words must occur word by word,
+#: and those below ``SENTENCE`` words be all that a document holds.
+PIECE, SHORTEST, SENTENCE = 128, 8, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Part of the best possible score from which on a document counts as contaminated.
+#: Part of the best possible score from which on a document counts as contaminated. The seeds rely on one half.
 THRESHOLD = 0.5
-#: Bytes of item text in one block, and of document text looked at together.
-BLOCK_BYTES, TEXT_BYTES = 4_000_000, 4_000_000
-WORD = re.compile(r"\w+")
-CELLS = 4_000_000
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-class Pieces:
-    """The pieces of one block of items, in word numbers."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.vocabulary: dict[str, int] = {}
-        self.item, self.words = [], []
-        for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(0, max(1, len(words) - PIECE // 2), PIECE // 2):
-                if len(words[at : at + PIECE]) >= SHORTEST:
-                    self.item.append(item)
-                    self.words.append(np.array(words[at : at + PIECE], np.int64))
-        grams = [ngrams(w) for w in self.words]
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        seed = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.seed_owner, self.seed_place = seed[order], owner[order], place[order]
-
-
-def ngrams(words: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each run of NGRAM words; zero if one of them is unknown."""
-    n = len(words) - NGRAM + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    code, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for i in range(NGRAM):
-        w = words[i : i + n]
-        known &= w > 0
-        code = (code ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        code ^= code >> np.uint64(32)
+#: An alignment above the threshold spans at most two pieces of text, so it lies whole in one passage of four, begun every two.
+STEP, PASSAGE = 2 * PIECE, 4 * PIECE
+GAPS = (1, 2)
+#: Bits of the bitmap of pairs (a power of two), bytes of text looked at together, cells of alignments made together.
+BITS, TEXT_BYTES, CELLS = 1 << 26, 4_000_000, 1_000_000
+#: Words remembered by a task, and code points of a text that are cut into words at a time.
+REMEMBERED, CHUNK = 300_000, 1 << 20
+WORD, NO_WORD = re.compile(r"\w+"), re.compile(r"\W")
+
+
+class Words(dict):
+    """Words as 64-bit numbers, never zero, the same in every task."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+        return number
+
+    def of(self, text: str | None) -> np.ndarray:
+        parts, at, text = [np.zeros(0, np.uint64)], 0, text or ""
+        while at < len(text):
+            cut = NO_WORD.search(text, at + CHUNK) if at + CHUNK < len(text) else None
+            end = cut.start() if cut else len(text)
+            words = WORD.findall(text[at:end].lower())
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+            at = end
+            if len(self) > REMEMBERED:
+                self.clear()
+        return np.concatenate(parts)
+
+
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each ordered pair of words; zero if one of them is none."""
+    code = (first * np.uint64(0x9E3779B97F4A7C15)) ^ second
+    code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(32)
     code[code == 0] = 1
-    return np.where(known, code, np.uint64(0))
+    return np.where((first != 0) & (second != 0), code, np.uint64(0))
+
+
+def pairs_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words after it, number) of every pair of words one or two apart."""
+    made = [(np.arange(max(0, len(words) - g)), g, paired(words[:-g], words[g:])) for g in GAPS]
+    place, number = np.concatenate([m[0] for m in made]), np.concatenate([m[2] for m in made])
+    return place, np.repeat(GAPS, [len(m[0]) for m in made]), number
 
 
-def numbered(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of several texts in a row, NGRAM unknown words between them; and the starts."""
-    get, parts, starts, at = vocabulary.get, [], [], 0
-    gap = np.zeros(NGRAM, np.int64)
-    for text in texts:
-        words = words_of(text)
-        starts.append(at)
-        parts += [np.fromiter((get(w, 0) for w in words), np.int64, len(words)), gap]
-        at += len(words) + NGRAM
-    return np.concatenate(parts), np.array(starts)
+def whole(words: np.ndarray) -> np.ndarray:
+    """The seed of a text that holds nothing but these one or two words."""
+    return paired(words[:1] ^ np.uint64(0x5851F42D4C957F2D), words[-1:] ^ np.uint64(len(words)))
+
+
+def seeding(size: int) -> tuple[int, int]:
+    """(places of a piece that get seeds, places of them that an alignment above the threshold hits at least)."""
+    if size < SHORTEST:
+        return 1, 1
+    sure = -(-size // 2) - 1
+    spared = 3 * sure // 4
+    return size - 1 - spared, sure - spared
 
 
 def aligned(piece: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
-    """Best local alignment score of ``piece`` with each window (Smith-Waterman, linear gaps)."""
-    width = max(map(len, windows))
-    text = np.full((len(windows), width), -1, np.int32)
+    """Best local alignment score with each window (Smith-Waterman, linear gaps): of one piece, or of
+    a row of ``piece`` for each window. Zero is no word and matches nothing."""
+    text = np.zeros((len(windows), max(map(len, windows))), piece.dtype)
     for i, w in enumerate(windows):
-        text[i, : len(w)] = np.where(w > 0, w, -1)
-    slope = np.arange(width + 1, dtype=np.int32) * -GAP
-    row, best = np.zeros((len(windows), width + 1), np.int32), np.zeros(len(windows), np.int32)
-    for w in piece.tolist():
+        text[i, : len(w)] = w
+    slope = np.arange(text.shape[1] + 1, dtype=np.int16) * np.int16(-GAP)
+    row, best = np.zeros((len(windows), text.shape[1] + 1), np.int16), np.zeros(len(windows), np.int16)
+    for w in np.atleast_2d(piece).T:
+        w = w[:, None]
         new = np.zeros_like(row)
-        np.maximum(row[:, :-1] + np.where(text == w, MATCH, MISMATCH), row[:, 1:] + GAP, out=new[:, 1:])
+        match = np.where((text == w) & (w != 0), np.int16(MATCH), np.int16(MISMATCH))
+        np.maximum(row[:, :-1] + match, row[:, 1:] + np.int16(GAP), out=new[:, 1:])
         np.maximum(new, 0, out=new)
         # Gaps along the text: the best earlier cell, less one gap for each step from it.
         row = np.maximum.accumulate(new + slope, axis=1) - slope
@@ -104,124 +112,172 @@ def aligned(piece: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _hits(pieces: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in the text, seed) where a seed occurs."""
-    known = np.flatnonzero(codes)
-    low = np.searchsorted(pieces.seed, codes[known])
-    count = np.searchsorted(pieces.seed, codes[known], side="right") - low
-    known, low, count = known[count > 0], low[count > 0], count[count > 0]
-    seeds = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(known, count), seeds
-
-
-def contaminated(pieces: Pieces, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-    """(text, piece, score, seeds) of every alignment that reaches the threshold, best per text and piece."""
-    words, starts = numbered(texts, pieces.vocabulary)
-    ends = np.append(starts[1:], len(words)) - NGRAM
-    place, seed = _hits(pieces, ngrams(words))
-    if not len(place):
-        return []
-    owner = pieces.seed_owner[seed]
-    text = np.searchsorted(starts, place, side="right") - 1
-    sizes = np.array([len(w) for w in pieces.words])
-    # The piece would start here if nothing was inserted; seeds that agree to within half a piece share a window.
-    begin = place - pieces.seed_place[seed]
-    order = np.lexsort((begin, owner, text))
-    text, owner, begin = text[order], owner[order], begin[order]
-    half = np.maximum(8, sizes[owner] // 2)
-    fresh = np.ones(len(text), bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - begin[:-1] > half[1:])
-    group = np.cumsum(fresh) - 1
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(text)) - 1
-    seeds = np.bincount(group)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    by_piece = np.argsort(owner[first], kind="stable")
-    for i, j in _runs(owner[first][by_piece]):
-        run = by_piece[i:j]
-        p = int(owner[first[run[0]]])
-        piece, half_p = pieces.words[p], int(half[first[run[0]]])
-        need = THRESHOLD * MATCH * len(piece)
-        held = np.bincount(piece, minlength=len(pieces.vocabulary) + 1) if len(run) > 4 else None
-        windows, which = [], []
-        for g in run.tolist():
-            t = int(text[first[g]])
-            lo, hi = max(starts[t], begin[first[g]] - half_p), min(ends[t], begin[last[g]] + len(piece) + half_p)
-            for at in range(lo, max(lo + 1, hi - half_p), 4 * PIECE):
-                window = words[at : min(hi, at + 8 * PIECE)]
-                # No alignment scores more than its common words, so this drops nothing.
-                common = _common(piece, window, held)
-                if MATCH * common >= need:
-                    windows.append(window)
-                    which.append((t, int(seeds[g])))
-        most = max(1, CELLS // (12 * PIECE))
-        for at in range(0, len(windows), most):
-            for (t, n), score in zip(which[at : at + most], aligned(piece, windows[at : at + most]).tolist(), strict=True):
-                if score >= need and score > best.get((t, p), (0, 0))[0]:
-                    best[t, p] = (score, n)
-    return [(t, p, score, n) for (t, p), (score, n) in best.items()]
-
-
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(values)) + 1
-    yield from zip([0, *cut.tolist()], [*cut.tolist(), len(values)], strict=True)
-
-
-def _common(piece: np.ndarray, window: np.ndarray, held: np.ndarray | None) -> int:
-    """Words of the piece that the window can match, each as often as it occurs."""
-    if held is None:
-        held = np.bincount(piece)
-    inside = window[(window > 0) & (window < len(held))]
-    seen = np.bincount(inside, minlength=len(held))
-    return int(np.minimum(seen, held)[1:].sum())
-
-
-def _blocks(items: DataFrame) -> int:
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(1, -(-size // BLOCK_BYTES))
-
-
 def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, seeds): documents that hold a test item or an edited copy of one.
 
     Words are runs of letters and digits in lower case. The score is the best alignment of a piece of the item
-    over the best possible one: 1.0 for a copy, at least 0.5 in every row. One row for each pair.
-    Null or empty texts and items of fewer than eight words match nothing. Repeated rows count once;
-    a null doc_id or item_id is carried as null. Extra columns are ignored. An empty table on either
-    side gives no rows. An item longer than a block's bytes is cut into overlapping parts.
+    over the best possible one: 1.0 for a copy, at least 0.5 in every row. ``seeds`` is the number of seeded
+    places of a piece that a passage hits. One row for each pair. Items of fewer than eight words are matched
+    only word by word, and those of one or two words only by documents that hold nothing else.
+    Null or empty texts match nothing. Repeated rows count once; a null doc_id or item_id is carried as
+    null. Extra columns are ignored. An empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     rows = text_rows(docs)
-    # Parts overlap by more than a piece holds, so each piece lies whole in one of them.
-    step, over = BLOCK_BYTES // 16, BLOCK_BYTES // 64
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - over - 1), F.lit(step)))
-    parts = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null and text <> ''")
-    parts = parts.distinct().select("item_id", "text", at.alias("at"))
-    parts = parts.select("item_id", "at", F.substring(F.col("text"), F.col("at") + 1, F.lit(step + over)).alias("text"))
-    number = _blocks(parts)
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(number)))
-    found = None
-    for block in range(number):
-        held = [(r["item_id"], r["text"]) for r in parts.where(F.col("block") == block).orderBy("item_id", "at").collect()]
-        pieces = Pieces(held)
-        made = rows.mapInArrow(_aligner(spark.sparkContext.broadcast(pieces)), "doc_id bigint, item_id bigint, score double, seeds bigint")
-        found = made if found is None else found.union(made)
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("seeds").alias("seeds"))
-
-
-def _aligner(held):
+    named = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").distinct()
+    pieces = checkpointed(named.mapInArrow(_cut, "item_id bigint, piece binary, words binary, size int").distinct())
+    single = pieces.dropDuplicates(["piece"]).select("piece", "words", "size")
+    pairs = checkpointed(single.mapInArrow(_pairs_of_pieces, "piece binary, keep int, need int, place int, pair bigint"))
+    counts = rows.mapInArrow(_counter(_bitmap(pairs)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    seeds = checkpointed(_rarest(pairs, counts))
+    least = seeds.agg(F.min("need").alias("need")).first()["need"] or 1
+    passages = checkpointed(rows.mapInArrow(_passages(_bitmap(seeds), least), "doc_id bigint, passage binary, words binary, pairs array<bigint>"))
+
+    hit = passages.select("passage", "pairs").dropDuplicates(["passage"]).select("passage", F.explode("pairs").alias("pair"))
+    # A piece has at most 127 places: two longs hold them.
+    low = F.expr("bit_or(if(place < 64, shiftleft(1L, place), 0L))")
+    high = F.expr("bit_or(if(place < 64, 0L, shiftleft(1L, place - 64)))")
+    met = hit.join(seeds, "pair").groupBy("passage", "piece", "need").agg(low.alias("low"), high.alias("high"))
+    met = met.withColumn("seeds", (F.bit_count("low") + F.bit_count("high")).cast("bigint")).where("seeds >= need")
+    texts = passages.select("passage", F.col("words").alias("text")).join(met.select("passage").distinct(), "passage", "left_semi")
+    both = met.select("passage", "piece", "seeds").join(single, "piece").join(texts.dropDuplicates(["passage"]), "passage")
+    scored = both.select("passage", "piece", "seeds", "words", "text").mapInArrow(_scores, "passage binary, piece binary, seeds bigint, score double")
+    named_scores = scored.join(pieces.select("item_id", "piece"), "piece").join(passages.select("doc_id", "passage"), "passage")
+    return named_scores.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("seeds").alias("seeds"))
+
+
+def _rarest(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pair, piece, place, need) of the rarest places of each piece; a place is as common as the commoner of its pairs."""
+    costs = pairs.join(counts, "pair", "left").groupBy("piece", "keep", "need", "place")
+    costs = costs.agg(F.max(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("pair").alias("pairs"))
+    rank = F.row_number().over(Window.partitionBy("piece").orderBy("cost", "place"))
+    kept = costs.withColumn("rank", rank).where("rank <= keep")
+    return kept.select(F.explode("pairs").alias("pair"), "piece", "place", "need")
+
+
+def _bitmap(pairs: DataFrame):
+    """A broadcast bitmap of the pairs by their highest bits; its parts of 4 kB are made by Spark."""
+    slot = F.shiftrightunsigned(F.col("pair"), 65 - BITS.bit_length()) + 1
+    parts = pairs.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("at"))
+    bits = np.zeros((BITS // 32_768, 4_096), np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():
+        bits[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+
+def _known(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = (numbers >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
+    return (numbers != 0) & ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _key(words: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(words.tobytes())
+
+
+def _cut(batches):
+    known = Words()
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = known.of(text.as_py())
+            made = [words[at : at + PIECE] for at in range(0, max(1, len(words) - PIECE // 2), PIECE // 2) if len(words)]
+            yield pa.RecordBatch.from_pydict(
+                {"item_id": pa.array([item] * len(made), pa.int64()), "piece": pa.array([_key(w) for w in made], pa.binary()),
+                 "words": pa.array([w.tobytes() for w in made], pa.binary()), "size": pa.array([len(w) for w in made], pa.int32())}
+            )
+
+
+def _pairs_of_pieces(batches):
+    for batch in batches:
+        for key, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = np.frombuffer(stored, np.uint64)
+            place, _, number = pairs_of(words) if len(words) >= SENTENCE else (np.zeros(1, np.int64), None, whole(words))
+            keep, need = seeding(len(words))
+            yield pa.RecordBatch.from_pydict(
+                {"piece": pa.array([key] * len(place), pa.binary()), "keep": pa.array([keep] * len(place), pa.int32()),
+                 "need": pa.array([need] * len(place), pa.int32()), "place": pa.array(place, pa.int32()), "pair": pa.array(number.view(np.int64))}
+            )
+
+
+def _worded(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of bounded bytes together: ids, their words in a row with two zeros after each, starts and word counts."""
+    known, gap = Words(), np.zeros(max(GAPS), np.uint64)
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+        for start, end in slices(sizes, TEXT_BYTES):
+            texts = [known.of(t.as_py()) for t in batch.column(1).slice(start, end - start)]
+            counts = np.array([len(t) for t in texts])
+            words = np.concatenate([x for t in texts for x in (t, gap)])
+            yield batch.column(0).slice(start, end - start), words, np.cumsum(counts + len(gap)) - counts - len(gap), counts
+
+
+def _hits(bits: np.ndarray, words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words after it, number) of the pairs in the bitmap, and of texts of one or two words in it as a whole."""
+    place, gap, number = pairs_of(words)
+    tiny = np.flatnonzero((counts > 0) & (counts < SENTENCE))
+    place, gap = np.append(place, starts[tiny]), np.append(gap, counts[tiny] - 1)
+    number = np.concatenate([number, *[whole(words[starts[t] : starts[t] + counts[t]]) for t in tiny]])
+    found = np.flatnonzero(_known(bits, number))
+    return place[found], gap[found], number[found]
+
+
+def _counter(held):
     def run(batches):
-        pieces = held.value
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for start, end in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist(), TEXT_BYTES):
-                rows = contaminated(pieces, texts.slice(start, end - start).to_pylist()) if len(pieces.words) else []
-                t, p, score, seeds = zip(*rows, strict=True) if rows else ((), (), (), ())
-                full = np.array([MATCH * len(pieces.words[i]) for i in p], np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.array(t, np.int64) + start)), pa.array([pieces.item[i] for i in p], pa.int64()),
-                     pa.array(np.array(score, np.float64) / full), pa.array(seeds, pa.int64())],
-                    ["doc_id", "item_id", "score", "seeds"],
-                )
+        for _, words, starts, counts in _worded(batches):
+            number, n = np.unique(_hits(held.value, words, starts, counts)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
 
     return run
+
+
+def _passages(held, least: int):
+    """The passages that at least ``least`` different seeds hit, with their words and seeds."""
+
+    def run(batches):
+        for ids, words, starts, counts in _worded(batches):
+            place, gap, number = _hits(held.value, words, starts, counts)
+            text = np.searchsorted(starts, place, side="right") - 1
+            at = place - starts[text]
+            part = at // STEP
+            # A pair lies in the passage begun last and, unless it runs out of it, in the one before.
+            before = (part > 0) & (at + gap < (part + 1) * STEP)
+            text, part, number = np.append(text, text[before]), np.append(part, part[before] - 1), np.append(number, number[before])
+            # A passage that ends where the one before it ends holds nothing new.
+            new = (part == 0) | (part * STEP + PASSAGE - STEP < counts[text])
+            order = np.lexsort((number[new], part[new], text[new]))
+            text, part, number = text[new][order], part[new][order], number[new][order]
+            moved = np.ones(len(text), bool)
+            moved[1:] = (text[1:] != text[:-1]) | (part[1:] != part[:-1])
+            fresh = moved.copy()
+            fresh[1:] |= number[1:] != number[:-1]
+            text, part, number, first = text[fresh], part[fresh], number[fresh], np.flatnonzero(moved[fresh])
+            ends = np.append(first[1:], len(text))
+            owner, keys, held_words, seeds = [], [], [], []
+            for lo, hi in zip(first[ends - first >= least].tolist(), ends[ends - first >= least].tolist(), strict=True):
+                t = text[lo]
+                passage = words[starts[t] + part[lo] * STEP : starts[t] + min(counts[t], part[lo] * STEP + PASSAGE)]
+                owner.append(t)
+                keys.append(_key(passage))
+                held_words.append(passage.tobytes())
+                seeds.append(number[lo:hi].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary()), pa.array(held_words, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                ["doc_id", "passage", "words", "pairs"],
+            )
+
+    return run
+
+
+def _scores(batches):
+    most = CELLS // PASSAGE
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            pieces = [np.frombuffer(w, np.uint64) for w in part.column(3).to_pylist()]
+            sizes = np.array([len(p) for p in pieces])
+            padded = np.zeros((len(pieces), sizes.max()), np.uint64)
+            for i, p in enumerate(pieces):
+                padded[i, : len(p)] = p
+            best = aligned(padded, [np.frombuffer(w, np.uint64) for w in part.column(4).to_pylist()]) / (MATCH * sizes)
+            enough = pa.array(best >= np.where(sizes < SHORTEST, 1.0, THRESHOLD))
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(i).filter(enough) for i in range(3)], pa.array(best).filter(enough)], ["passage", "piece", "seeds", "score"]
+            )

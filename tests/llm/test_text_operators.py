@@ -79,11 +79,67 @@ def test_copies_with_many_words_replaced_are_found(spark, documents, whole_copie
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(documents(texts), df).collect()} == want
 
 
-def test_blocks_of_items_change_nothing(spark, sf, monkeypatch):
+def test_all_alignments_are_found(spark, sf):
+    """Against the alignment of every item with every whole text."""
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = sorted(tuple(r) for r in decontam.contaminated_documents(docs, items).select("doc_id", "item_id", "score").collect())
-    monkeypatch.setattr(decontam, "_blocks", lambda items: 3)
-    assert sorted(tuple(r) for r in decontam.contaminated_documents(docs, items).select("doc_id", "item_id", "score").collect()) == whole
+    known, want = decontam.Words(), {}
+    texts = {r["doc_id"]: known.of(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    texts = {i: w for i, w in texts.items() if len(w)}
+    for r in items.collect():
+        item = known.of(r["text"])
+        assert decontam.SHORTEST <= len(item) <= decontam.PIECE
+        for i, score in zip(texts, decontam.aligned(item, list(texts.values())).tolist(), strict=True):
+            if score >= len(item):
+                want[i, r["item_id"]] = score / (2 * len(item))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_documents(docs, items).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_copies_without_three_words_in_a_row_are_found(spark, documents):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    edits = [
+        lambda item: [x for i, w in enumerate(item) for x in ([w, word()] if i % 2 else [w])],
+        lambda item: [x for w in item for x in (w, word())],
+        lambda item: [word() if i % 3 == 2 else w for i, w in enumerate(item)],
+        lambda item: [w for i, w in enumerate(item) if i % 3 != 2],
+        lambda item: [x for w in item for x in rng.choice([[w], [w], [w, word()], [word()], []])],
+    ]
+    items, texts, want = [], [], set()
+    for i in range(150):
+        item = [word() for _ in range(rng.randint(8, 128))]
+        copy = edits[i % 5](item)
+        items.append((i, " ".join(item)))
+        # Copies lie anywhere among the passages, beside whole ones that make their seeds common.
+        texts += [(i, " ".join([*[word() for _ in range(rng.randint(0, 900))], *copy, word()])), *[(1000 + i, " ".join(item))] * 3]
+        want |= {(i, i)} if swat(item, copy) >= len(item) else set()
+        want |= {(1000 + i, i)}
+    assert sum(i < 1000 for i, _ in want) > 90
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(documents(texts), df).collect()} == want
+
+
+def test_short_and_long_items(spark, documents):
+    long = " ".join(f"w{i}" for i in range(5000))
+    items = [(1, "Yes"), (2, "so be"), (3, "one two three"), (4, "a b c d e f g"), (5, long), (6, "x x x x x x x x x"), (7, "?!")]
+    texts = [
+        (1, "yes."), (2, "yes they do"), (3, "so be it"), (4, "So be"), (5, "and one two three go"), (6, "one two or three"), (7, "z a b c d e f g z"),
+        (8, "a b c d e f"), (9, "q " * 700 + " ".join(f"w{i}" for i in range(3000, 3140))), (10, "x " * 3000), (11, "?!"), (12, "x x y"),
+        (13, "w" * 3_000_000 + " one two three"),
+    ]
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(documents(texts), df).collect()}
+    assert got == {(1, 1), (4, 2), (5, 3), (7, 4), (9, 5), (10, 6), (13, 3)}
+
+
+def test_items_with_a_stem_in_common(spark, documents):
+    """The stem is common, so its places get no seeds, however often one text repeats it."""
+    stem = "which of the following statements about this is true"
+    items = [(i, f"{stem} " + " ".join(f"u{i}x{j}" for j in range(12))) for i in range(3000)]
+    texts = [(1, f"{stem} " * 100), (2, f"{stem} " + " ".join(f"u7x{j}" for j in range(12)))]
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontam.contaminated_documents(documents(texts), df)
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in found.collect()] == [(2, 7, 1.0)]
 
 
 # --- repeated strings
