@@ -7,24 +7,27 @@ at most between them, each beginning at a place of its own. So the commonest pla
 over all documents) need no seeds, and a passage must still be hit at some of the others: rarity saves work
 and loses no copy, whatever the counts are.
 
-Documents are read twice: once to count the pairs that items hold, once for the passages that seeds hit. What is
-broadcast is a bitmap of BITS bits however many items there are; it only saves shuffling, as the join by equal pairs decides.
+Documents are read three times: to count the pairs that items hold, for the passages that seeds hit, and for the words of
+those passages that a piece shares enough seeds with. What is broadcast is a bitmap of BITS bits however many items
+or passages there are; it only saves shuffling, as the joins by equal values decide.
 Equal passages are aligned once, and so are equal pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from structaudit.llm.common import checkpointed, slices, text_rows
+from structaudit.llm.common import shared_folder, slices, text_rows
 
 #: Words of a piece; longer items overlap by half. Pieces below ``SHORTEST`` words must occur word by word,
 #: and those below ``SENTENCE`` words be all that a document holds.
@@ -36,37 +39,56 @@ THRESHOLD = 0.5
 STEP, PASSAGE = 2 * PIECE, 4 * PIECE
 GAPS = (1, 2)
 #: Bits of the bitmap of pairs (a power of two), bytes of text looked at together, cells of alignments made together.
-BITS, TEXT_BYTES, CELLS = 1 << 26, 4_000_000, 1_000_000
-#: Words remembered by a task, and code points of a text that are cut into words at a time.
-REMEMBERED, CHUNK = 300_000, 1 << 20
+BITS, TEXT_BYTES, CELLS = 1 << 26, 1_000_000, 1_000_000
+#: Code points cut into words at a time.
+CHUNK = 1 << 20
 WORD, NO_WORD = re.compile(r"\w+"), re.compile(r"\W")
 
 
-class Words(dict):
-    """Words as 64-bit numbers, never zero, the same in every task."""
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts in a row as 64-bit numbers, never zero, the same in every task; and each text's count."""
+    lower = [(t or "").lower() for t in texts]
+    ends, text = np.cumsum([len(t) + 1 for t in lower]), "\n".join(lower)
+    at, starts, numbers = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    while at < len(text):
+        cut = NO_WORD.search(text, at + CHUNK) if at + CHUNK < len(text) else None
+        end = cut.start() if cut else len(text)
+        start, number = _numbered(np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), np.uint32))
+        starts.append(start + at)
+        numbers.append(number)
+        at = end
+    return np.concatenate(numbers), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-        return number
 
-    def of(self, text: str | None) -> np.ndarray:
-        parts, at, text = [np.zeros(0, np.uint64)], 0, text or ""
-        while at < len(text):
-            cut = NO_WORD.search(text, at + CHUNK) if at + CHUNK < len(text) else None
-            end = cut.start() if cut else len(text)
-            words = WORD.findall(text[at:end].lower())
-            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-            at = end
-            if len(self) > REMEMBERED:
-                self.clear()
-        return np.concatenate(parts)
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and number of each word: a polynomial over its code points, by differences of running sums."""
+    found = np.flatnonzero(np.bincount(codes))
+    letter = np.zeros(found[-1] + 1, bool)
+    letter[found] = [WORD.match(chr(c)) is not None for c in found.tolist()]
+    edges = np.flatnonzero(np.diff(letter[codes], prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    powers, inverses = _powers(1 << int(len(codes) - 1).bit_length())
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], out=sums[1:])
+    return start, mixed((sums[end] - sums[start]) * inverses[start]) | np.uint64(1)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = numbers * np.uint64(0x9E3779B97F4A7C15)
+    numbers = (numbers ^ (numbers >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return numbers ^ (numbers >> np.uint64(32))
 
 
 def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A 64-bit number for each ordered pair of words; zero if one of them is none."""
-    code = (first * np.uint64(0x9E3779B97F4A7C15)) ^ second
-    code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    code ^= code >> np.uint64(32)
+    code = mixed((first * np.uint64(0xD6E8FEB86659FD93)) ^ second)
     code[code == 0] = 1
     return np.where((first != 0) & (second != 0), code, np.uint64(0))
 
@@ -124,13 +146,15 @@ def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     rows = text_rows(docs)
     named = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").distinct()
-    pieces = checkpointed(named.mapInArrow(_cut, "item_id bigint, piece binary, words binary, size int").distinct())
+    stored = _Store(docs.sparkSession)
+    pieces = stored(named.mapInArrow(_cut, "item_id bigint, piece binary, words binary, size int").distinct())
     single = pieces.dropDuplicates(["piece"]).select("piece", "words", "size")
-    pairs = checkpointed(single.mapInArrow(_pairs_of_pieces, "piece binary, keep int, need int, place int, pair bigint"))
+    pairs = stored(single.mapInArrow(_pairs_of_pieces, "piece binary, keep int, need int, place int, pair bigint"))
     counts = rows.mapInArrow(_counter(_bitmap(pairs)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    seeds = checkpointed(_rarest(pairs, counts))
+    seeds = stored(_rarest(pairs, counts))
     least = seeds.agg(F.min("need").alias("need")).first()["need"] or 1
-    passages = checkpointed(rows.mapInArrow(_passages(_bitmap(seeds), least), "doc_id bigint, passage binary, words binary, pairs array<bigint>"))
+    bits = _bitmap(seeds)
+    passages = stored(rows.mapInArrow(_passages(bits, least), "doc_id bigint, passage binary, pairs array<bigint>"))
 
     hit = passages.select("passage", "pairs").dropDuplicates(["passage"]).select("passage", F.explode("pairs").alias("pair"))
     # A piece has at most 127 places: two longs hold them.
@@ -138,13 +162,27 @@ def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     high = F.expr("bit_or(if(place < 64, 0L, shiftleft(1L, place - 64)))")
     met = hit.join(seeds, "pair").groupBy("passage", "piece", "need").agg(low.alias("low"), high.alias("high"))
     met = met.withColumn("seeds", (F.bit_count("low") + F.bit_count("high")).cast("bigint")).where("seeds >= need")
-    texts = passages.select("passage", F.col("words").alias("text")).join(met.select("passage").distinct(), "passage", "left_semi")
-    both = met.select("passage", "piece", "seeds").join(single, "piece").join(texts.dropDuplicates(["passage"]), "passage")
+    met = stored(met.select("passage", "piece", "seeds"))
+    wanted = _bitmap(met.select(F.xxhash64("passage").alias("pair")))
+    texts = rows.mapInArrow(_passage_words(bits, least, wanted), "passage binary, text binary").dropDuplicates(["passage"])
+    both = met.join(single, "piece").join(texts, "passage")
     scored = both.select("passage", "piece", "seeds", "words", "text").mapInArrow(_scores, "passage binary, piece binary, seeds bigint, score double")
     named_scores = scored.join(pieces.select("item_id", "piece"), "piece").join(passages.select("doc_id", "passage"), "passage")
     return named_scores.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("seeds").alias("seeds"))
 
 
+class _Store:
+    """Writes tables to the shared folder and goes on from the files, whichever executor is lost."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, f"{shared_folder(spark)}/decontamination-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        df.write.parquet(f"{self.folder}/{self.number}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.number}")
+
+
 def _rarest(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(pair, piece, place, need) of the rarest places of each piece; a place is as common as the commoner of its pairs."""
     costs = pairs.join(counts, "pair", "left").groupBy("piece", "keep", "need", "place")
@@ -174,10 +212,9 @@ def _key(words: np.ndarray) -> bytes:
 
 
 def _cut(batches):
-    known = Words()
     for batch in batches:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = known.of(text.as_py())
+            words = words_of([text.as_py()])[0]
             made = [words[at : at + PIECE] for at in range(0, max(1, len(words) - PIECE // 2), PIECE // 2) if len(words)]
             yield pa.RecordBatch.from_pydict(
                 {"item_id": pa.array([item] * len(made), pa.int64()), "piece": pa.array([_key(w) for w in made], pa.binary()),
@@ -199,14 +236,14 @@ def _pairs_of_pieces(batches):
 
 def _worded(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Documents of bounded bytes together: ids, their words in a row with two zeros after each, starts and word counts."""
-    known, gap = Words(), np.zeros(max(GAPS), np.uint64)
+    gap = max(GAPS)
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
         for start, end in slices(sizes, TEXT_BYTES):
-            texts = [known.of(t.as_py()) for t in batch.column(1).slice(start, end - start)]
-            counts = np.array([len(t) for t in texts])
-            words = np.concatenate([x for t in texts for x in (t, gap)])
-            yield batch.column(0).slice(start, end - start), words, np.cumsum(counts + len(gap)) - counts - len(gap), counts
+            numbers, counts = words_of(batch.column(1).slice(start, end - start).to_pylist())
+            words = np.zeros(len(numbers) + gap * len(counts), np.uint64)
+            words[np.arange(len(numbers)) + gap * np.repeat(np.arange(len(counts)), counts)] = numbers
+            yield batch.column(0).slice(start, end - start), words, np.cumsum(counts + gap) - counts - gap, counts
 
 
 def _hits(bits: np.ndarray, words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,43 +266,66 @@ def _counter(held):
 
 
 def _passages(held, least: int):
-    """The passages that at least ``least`` different seeds hit, with their words and seeds."""
+    """The passages that at least ``least`` different seeds hit, with these seeds."""
 
     def run(batches):
         for ids, words, starts, counts in _worded(batches):
-            place, gap, number = _hits(held.value, words, starts, counts)
-            text = np.searchsorted(starts, place, side="right") - 1
-            at = place - starts[text]
-            part = at // STEP
-            # A pair lies in the passage begun last and, unless it runs out of it, in the one before.
-            before = (part > 0) & (at + gap < (part + 1) * STEP)
-            text, part, number = np.append(text, text[before]), np.append(part, part[before] - 1), np.append(number, number[before])
-            # A passage that ends where the one before it ends holds nothing new.
-            new = (part == 0) | (part * STEP + PASSAGE - STEP < counts[text])
-            order = np.lexsort((number[new], part[new], text[new]))
-            text, part, number = text[new][order], part[new][order], number[new][order]
-            moved = np.ones(len(text), bool)
-            moved[1:] = (text[1:] != text[:-1]) | (part[1:] != part[:-1])
-            fresh = moved.copy()
-            fresh[1:] |= number[1:] != number[:-1]
-            text, part, number, first = text[fresh], part[fresh], number[fresh], np.flatnonzero(moved[fresh])
-            ends = np.append(first[1:], len(text))
-            owner, keys, held_words, seeds = [], [], [], []
-            for lo, hi in zip(first[ends - first >= least].tolist(), ends[ends - first >= least].tolist(), strict=True):
-                t = text[lo]
-                passage = words[starts[t] + part[lo] * STEP : starts[t] + min(counts[t], part[lo] * STEP + PASSAGE)]
-                owner.append(t)
-                keys.append(_key(passage))
-                held_words.append(passage.tobytes())
-                seeds.append(number[lo:hi].view(np.int64))
+            owner, found, seeds = _hit_passages(held.value, least, words, starts, counts)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary()), pa.array(held_words, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
-                ["doc_id", "passage", "words", "pairs"],
+                [ids.take(pa.array(owner, pa.int64())), pa.array([_key(w) for w in found], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                ["doc_id", "passage", "pairs"],
             )
 
     return run
 
 
+def _passage_words(held, least: int, wanted):
+    """The same passages with their words, if they are in the bitmap ``wanted``."""
+
+    def run(batches):
+        for _, words, starts, counts in _worded(batches):
+            found = _hit_passages(held.value, least, words, starts, counts)[1]
+            keys = [_key(w) for w in found]
+            inside = _known(wanted.value, np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, i in zip(keys, inside, strict=True) if i], pa.binary()),
+                 pa.array([w.tobytes() for w, i in zip(found, inside, strict=True) if i], pa.binary())], ["passage", "text"],
+            )
+
+    return run
+
+
+def _hit_passages(
+    bits: np.ndarray, least: int, words: np.ndarray, starts: np.ndarray, counts: np.ndarray
+) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Text, words and different seeds of each passage that at least ``least`` of them hit."""
+    place, gap, number = _hits(bits, words, starts, counts)
+    text = np.searchsorted(starts, place, side="right") - 1
+    at = place - starts[text]
+    part = at // STEP
+    # A pair lies in the passage begun last and, unless it runs out of it, in the one before.
+    before = (part > 0) & (at + gap < (part + 1) * STEP)
+    text, part, number = np.append(text, text[before]), np.append(part, part[before] - 1), np.append(number, number[before])
+    # A passage that ends where the one before it ends holds nothing new.
+    new = (part == 0) | (part * STEP + PASSAGE - STEP < counts[text])
+    order = np.lexsort((number[new], part[new], text[new]))
+    text, part, number = text[new][order], part[new][order], number[new][order]
+    moved = np.ones(len(text), bool)
+    moved[1:] = (text[1:] != text[:-1]) | (part[1:] != part[:-1])
+    fresh = moved.copy()
+    fresh[1:] |= number[1:] != number[:-1]
+    text, part, number, first = text[fresh], part[fresh], number[fresh], np.flatnonzero(moved[fresh])
+    ends = np.append(first[1:], len(text))
+    enough = ends - first >= least
+    owner, found, seeds = [], [], []
+    for lo, hi in zip(first[enough].tolist(), ends[enough].tolist(), strict=True):
+        t, begin = text[lo], part[lo] * STEP
+        owner.append(t)
+        found.append(words[starts[t] + begin : starts[t] + min(counts[t], begin + PASSAGE)])
+        seeds.append(number[lo:hi].view(np.int64))
+    return owner, found, seeds
+
+
 def _scores(batches):
     most = CELLS // PASSAGE
     for batch in batches:

@@ -79,14 +79,23 @@ def test_copies_with_many_words_replaced_are_found(spark, documents, whole_copie
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(documents(texts), df).collect()} == want
 
 
+def test_words_are_numbered_alike_wherever_they_stand():
+    texts = ["Ünï_code 日本 😀 x1", None, "", "a b c ab ba aab aba baa abc cab 1 11 111", "İ. ΣΑΣ ß\ud800 naïve", "ab " * 400_000 + "cab"]
+    numbers, counts = decontam.words_of(texts)
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    named = {w: decontam.words_of([w])[0][0] for w in sorted({w for ws in words for w in ws})}
+    assert numbers.tolist() == [named[w] for ws in words for w in ws] and len(set(named.values())) == len(named) and 0 not in named.values()
+
+
 def test_all_alignments_are_found(spark, sf):
     """Against the alignment of every item with every whole text."""
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    known, want = decontam.Words(), {}
-    texts = {r["doc_id"]: known.of(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    known, want = lambda text: decontam.words_of([text])[0], {}
+    texts = {r["doc_id"]: known(r["text"]) for r in docs.select("doc_id", "text").collect()}
     texts = {i: w for i, w in texts.items() if len(w)}
     for r in items.collect():
-        item = known.of(r["text"])
+        item = known(r["text"])
         assert decontam.SHORTEST <= len(item) <= decontam.PIECE
         for i, score in zip(texts, decontam.aligned(item, list(texts.values())).tolist(), strict=True):
             if score >= len(item):
