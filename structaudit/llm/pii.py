@@ -7,11 +7,13 @@ pattern, so a match's place is the sum of the lengths before it, in code points.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structaudit.functions.binding import let
 from structaudit.llm.common import text_rows
 
 #: Each pattern matches what the base pattern of its kind would, left to right; possessive
@@ -27,6 +29,8 @@ IBAN = (
 NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
 CONTEXT = 40
+#: Numbers added up together, and code points in a piece of a text: they bound copying, not what is found.
+RUN, PIECE = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -53,9 +57,6 @@ KINDS = (
 #: Spans of the added kinds are kept from this score on; those of the base kinds always stay.
 KEEP = 60
 
-SPAN = "struct<start:bigint,end:bigint,hit:string,before:string,after:string>"
-
-
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -94,21 +95,39 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of the numbers, those before it put together by ``add``, from 0 on.
+
+    An array that grows by one is copied each time, so the numbers are taken in runs of ``RUN``: what
+    each run adds up to, where each run begins, and then the places inside it.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def grown(numbers: Column, first: Column) -> Column:
+        return F.aggregate(numbers, F.array(first), lambda done, v: F.concat(done, F.array(add(F.element_at(done, -1), v))))
+
+    def places(cut: Column) -> Column:
+        begins = grown(F.transform(cut, lambda run: F.aggregate(run, zero, add)), zero)
+        return let(begins, lambda at: F.flatten(F.transform(cut, lambda run, k: F.slice(grown(run, F.get(at, k)), F.lit(1), F.size(run)))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: F.slice(values, k * RUN + 1, F.lit(RUN)))
+    return F.when(F.size(values) > 0, let(runs, places)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _placed(hits: Column, pieces: Column) -> Column:
     """Matches with their places and the text beside them, from matches and the pieces between."""
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(done: Column, i: Column) -> Column:
-        start = done["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(hits, i))
-        span = F.struct(
-            start.alias("start"), end.alias("end"), F.get(hits, i).alias("hit"),
-            F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    lengths = F.transform(hits, lambda hit, i: (F.length(F.get(pieces, i)) + F.length(hit)).cast("bigint"))
+
+    def spans(before: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            return let(F.get(before, i) + F.length(F.get(pieces, i)), lambda start: F.struct(
+                start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"),
+                F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
+            ))
 
-    several = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), empty, step)["spans"]
-    return F.when(F.size(hits) > 0, several).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return F.transform(hits, span)
+
+    return let(let(lengths, lambda n: running(n, lambda x, y: x + y)), spans)
 
 
 def _scored(kind: Kind, rank: int, spans: Column) -> Column:
@@ -185,17 +204,28 @@ def span_list(spans: Column, base_only: bool = False) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans a later one keeps what lies beyond those before."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done: Column, s: Column) -> Column:
-        kept = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - done["at"]).cast("int"))
-        parts = F.concat(done["parts"], F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["end"] <= done["at"], done).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
+    """The text with each span replaced by its kind in brackets; of overlapping spans a later one keeps what lies beyond those before.
 
-    done = F.aggregate(spans, start, step)
-    tail = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["parts"], ""), tail)).otherwise(text)
+    What lies between spans is put together from pieces of ``PIECE`` code points, because looking for a place in a long text
+    begins at its start.
+    """
+    def made(pieces: Column, spans: Column, ends: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE)
+            met = F.transform(F.sequence(first, F.greatest(first, F.floor((end - 1) / PIECE))), lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit("")))
+            return F.when(end > start, F.substring(F.array_join(met, ""), (start % PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+        def shown(s: Column, i: Column) -> Column:
+            kept = F.concat(between(F.get(ends, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["end"] <= F.get(ends, i), "").otherwise(kept)
+
+        done = F.greatest(F.get(ends, F.size(spans) - 1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(spans, shown), ""), between(done, F.length(text).cast("bigint")))
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    changed = let(F.struct(pieces.alias("pieces"), ends.alias("ends")), lambda x: made(x["pieces"], spans, x["ends"]))
+    return F.when(F.size(spans) > 0, changed).otherwise(text)
 
 
 def kind_count(spans: Column, kind: str) -> Column:

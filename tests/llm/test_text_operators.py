@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -313,6 +314,28 @@ def test_redaction_covers_overlapping_spans(documents):
     assert [got[i] for i in range(len(texts))] == list(texts.values())
 
 
+def test_very_many_hits_in_one_text(documents):
+    rng = random.Random(11)
+    bits = ["jane.doe@mail.org", "10.2.3.4", "4111 1111 1111 1111", "+1 743 555 3824", "plain words é😀", "\n", "9jane@mail.org"]
+    long = " ".join(f"{rng.choice(bits)} {'x' * rng.randint(0, 60)}" for _ in range(40_000))
+    rows = documents([(1, long), (2, "a@b.c " * 20_000)])
+    began = time.monotonic()
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(rows).collect()}
+    red = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    assert time.monotonic() - began < 60
+    assert pii_list(found[1]) == base_spans(long) and len(found[2]) == 20_000
+    parts, at = [], 0
+    for s in found[1]:
+        if s["end"] > at:
+            parts += [long[at : max(at, s["start"])], f"[{s['kind'].upper()}]"]
+            at = s["end"]
+    assert red[1] == "".join([*parts, long[at:]]) and red[2] == "[EMAIL] " * 20_000
+
+
+def pii_list(spans):
+    return [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in ("email", "ip", "card", "phone")]
+
+
 # --- SimHash
 
 
