@@ -83,14 +83,33 @@ def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return text[first], first, last, value[anchor[first].astype(np.int64)]
 
 
+def anchors_of(docs: DataFrame) -> DataFrame:
+    """(key, n): anchors, each with how many segments of texts looked at together it has."""
+
+    def run(batches):
+        for batch in batches:
+            for parts, _, _ in _together(batch.column(0)):
+                ends = np.cumsum([len(p) for p in parts])
+                key = anchored(np.frombuffer(b"".join(parts), np.uint8), ends - [len(p) for p in parts], ends)[3]
+                value, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    return docs.select(F.col("text").cast("binary")).where(F.octet_length("text") >= LENGTH).mapInArrow(run, "key bigint, n bigint")
+
+
+def _together(texts: pa.Array):
+    """Texts of about ``TEXT_BYTES`` together: (texts, first, end)."""
+    for i, j in slices(pa.compute.binary_length(texts).to_pylist(), TEXT_BYTES):
+        yield texts.slice(i, j - i).to_pylist(), i, j
+
+
 def segments_of(docs: DataFrame) -> DataFrame:
     """(key, seg, t1, t2, at): a segment's anchor and content, its text, and SHIFT * first window + windows."""
 
     def run(batches):
         for batch in batches:
             t1, t2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for i, j in slices(pa.compute.binary_length(texts).to_pylist(), TEXT_BYTES):
-                parts = texts.slice(i, j - i).to_pylist()
+            for parts, i, _ in _together(texts):
                 raw = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
                 starts = ends - [len(p) for p in parts]
@@ -222,26 +241,29 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(t1, t2, found): for each text, by its two hashes, the window runs that occur elsewhere too."""
     occurrences = segments_of(docs)
     # Anchors met once go before anything else is kept; most of a text's do.
-    keys = occurrences.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    keys = anchors_of(docs).groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     again = checkpointed(occurrences.join(keys, "key"))
     segments = again.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "at")).alias("first"))
     wanted = checkpointed(segments.select("key", "seg", "copies", "first.*"))
     different = wanted.groupBy("key").agg(F.count("*").alias("different"))
-    size = wanted.agg(F.sum(F.col("at") % SHIFT + LENGTH).alias("b")).first()["b"] or 0
+    counted_keys = wanted.join(different, "key")
+    # An anchor with one segment only has copies of it: once merged, nothing is left to set it against.
+    alone = counted_keys.where("different = 1").select("key", "seg", F.array(F.lit(0).cast("bigint"), F.col("at") % SHIFT).alias("found"))
+    several = counted_keys.where("different > 1")
+    size = several.agg(F.sum(F.col("at") % SHIFT + LENGTH).alias("b")).first()["b"] or 0
 
     blocks = max(1, -(-size // BLOCK_BYTES))
-    counted_keys = wanted.join(different, "key")
-    few = _bodies(docs, counted_keys.where(F.col("different") <= SEGMENTS))
+    few = _bodies(docs, several.where(F.col("different") <= SEGMENTS))
     few = few.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     marked = few.groupBy("block").applyInArrow(_expanded, "key bigint, seg bigint, found array<bigint>")
     # Anchors in very many segments: their windows are counted one by one.
-    many = _bodies(docs, counted_keys.where(F.col("different") > SEGMENTS)).dropDuplicates(["key", "seg"])
+    many = _bodies(docs, several.where(F.col("different") > SEGMENTS)).dropDuplicates(["key", "seg"])
     single = many.mapInArrow(_single_windows, "key bigint, seg bigint, w bigint, copies bigint, h1 bigint, h2 bigint")
     often = single.groupBy("h1", "h2").agg(F.sum("copies").alias("total")).where("total > 1").select("h1", "h2")
     counted = single.join(often, ["h1", "h2"]).groupBy("key", "seg").agg(
         F.flatten(F.sort_array(F.collect_set(F.array("w", F.col("w") + 1)))).alias("found")
     )
-    marks = marked.where(F.size("found") > 0).union(counted)
+    marks = marked.where(F.size("found") > 0).union(counted).union(alone)
     met = again.join(marks, ["key", "seg"])
     place = F.floor(F.col("at") / SHIFT).alias("lo")
     return met.select("t1", "t2", F.struct(place, "found").alias("m")).groupBy("t1", "t2").agg(F.collect_set("m").alias("found"))
@@ -312,16 +334,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            runs = batch.column(2).flatten()
+            of_row = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(2)).fill_null(0).to_numpy())])
+            edges_of_run = pa.compute.list_value_length(runs.field(1)).to_numpy()
+            edges = runs.field(1).flatten().to_numpy() + np.repeat(runs.field(0).to_numpy(), edges_of_run)
+            of_row = np.concatenate([[0], np.cumsum(edges_of_run)])[of_row]
+            for text, first, end in zip(batch.column(1).to_pylist(), of_row[:-1].tolist(), of_row[1:].tolist(), strict=True):
                 n = len(text)
-                if not found:
+                if first == end:
                     out.append((n, 0, 0, text))
                     continue
                 change = np.zeros(n + 1, np.int64)
-                for m in found:
-                    edge = np.array(m["found"]) + m["lo"]
-                    np.add.at(change, edge[::2], 1)
-                    np.add.at(change, edge[1::2] - 1 + LENGTH, -1)
+                np.add.at(change, edges[first:end:2], 1)
+                np.add.at(change, edges[first + 1 : end : 2] - 1 + LENGTH, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out.append((n, n - len(kept), len(runs_of(gone)) // 2, kept))
