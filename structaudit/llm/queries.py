@@ -132,4 +132,7 @@ select revisit_id, url, base_id, status, case when status in ('resolved', 'unche
 from judged"""
 
 #: Fingerprints, alignments, models and tokens have no SQL; tests hold those queries against brute force.
-SQL: dict[str, str] = {"op3_warc_revisits": WARC_SQL, "op11_spelling": twins.SPELLING_SQL, "op13_conversation_repair": twins.REPAIR_SQL}
+SQL: dict[str, str] = {
+    "op3_warc_revisits": WARC_SQL, "op4_feistel_shards": twins.SHARD_SQL, "op6_pii": twins.PII_SQL, "op11_spelling": twins.SPELLING_SQL,
+    "op13_conversation_repair": twins.REPAIR_SQL,
+}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from structaudit.llm.common import checkpointed, text_rows
 
-ROUNDS = 6
+ROUNDS, SEED = 6, 20_240_611
 #: Below ``a`` numbers lie outside the range, so a walk ends after ``a`` steps at most: after 64
 #: for n <= 4096. Above, 64 steps do not end with a chance of about n**-32; that is an error.
 WALK = 64
@@ -122,7 +122,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, i
     return out.select(*rows.columns, (F.col("_before") + within).alias(name)), total
 
 
-def feistel_shards(docs: DataFrame, shards: int = 40, seed: int = 20_240_611) -> DataFrame:
+def feistel_shards(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:
     """Shard and slot of every document; shard sizes in rows differ by one at most.
 
     Row numbers follow (doc_id, text_crc32, size), nulls first. Rows that agree in all three are

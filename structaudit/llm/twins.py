@@ -1,4 +1,6 @@
-"""SQL twins of the later queries."""
+"""SQL twins of the queries on texts and conversations."""
+
+from structaudit.llm import pii, shard
 
 #: Damage, faults, and a parse by states of the role grammar: every row takes an edit, insertions follow it, the cheapest stay.
 REPAIR_SQL = r"""
@@ -79,3 +81,77 @@ found as (
 ways(word, place) as (select word, word from found union all select ways.word, f.form from ways join found f on f.word = ways.place where f.form is not null)
 select f.word, f.n, f.n_near, f.form, f.form_n, w.place as root
 from found f join ways w using (word) join found e on e.word = w.place where e.form is null"""
+
+CRC_STEPS = "select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps from range(256) r(i)"
+
+#: The network round by round: a number goes on after six rounds as long as it lies outside.
+SHARD_SQL = rf"""
+with recursive
+crc_steps as ({CRC_STEPS}),
+given as (select doc_id, coalesce(text, '') as text from documents),
+hashed as (
+  select doc_id, (octet_length(encode(text)) + 16)::bigint as size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)),
+                         lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)::bigint as text_crc32 from given, crc_steps),
+numbered as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row_number from hashed),
+sizes as (select n, a, (n + a - 1) // a as b from (select count(*) as n, floor(sqrt(greatest(count(*) - 1, 0)))::bigint + 1 as a from given)),
+keys as (select {shard.round_keys(shard.SEED)} as keys),
+net(row_number, i, l, r) as (
+  select row_number, 0, row_number // b, row_number % b from numbered, sizes
+  union all
+  select row_number, i + 1, case when i % 2 = 0 then (l + ((r % {shard.P1} + keys[i % 6 + 1]) % {shard.P1} * {shard.M1} % {shard.P1} + 1) * {shard.M2} % {shard.P2}) % a else l end,
+         case when i % 2 = 1 then (r + ((l % {shard.P1} + keys[i % 6 + 1]) % {shard.P1} * {shard.M1} % {shard.P1} + 1) * {shard.M2} % {shard.P2}) % b else r end
+  from net, sizes, keys where i = 0 or i % 6 > 0 or l * b + r >= n),
+placed as (select row_number, l * b + r as place from net, sizes where i > 0 and i % 6 = 0 and l * b + r < n)
+select doc_id, size, text_crc32, 'rows' as law, (place % 40)::int as shard, (place // 40)::bigint as slot, null::int as grown_shard, row_number
+from numbered join placed using (row_number)"""
+
+#: Where a pattern of the operator looks around, the runs it must not begin or end in are fenced by two private characters first.
+_FENCED = r"regexp_replace(text, '([{0}]+)', chr(57344) || '\1' || chr(57345), 'g')"
+_LETTERS, _DASHED = _FENCED.format("A-Za-z0-9"), _FENCED.format("0-9A-Za-z-")
+_PROPOSED = {
+    "email": ("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": ("text", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+           "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as bigint), 0) > 255)) = 0"),
+    "card": ("text", r"[0-9](?:[\x20-]?[0-9])+",
+             "list_sum(list_transform(range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then substr(digits, -i, 1)::int"
+             " when substr(digits, -i, 1)::int > 4 then substr(digits, -i, 1)::int * 2 - 9 else substr(digits, -i, 1)::int * 2 end)) % 10 = 0"),
+    "phone": ("text", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) between 10 and 15"),
+    "iban": (_LETTERS, r"\x{E000}[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}\x{E001}|\x{E001}(?:\x20\x{E000}[A-Z0-9]{4}\x{E001}){2,7}(?:\x20\x{E000}[A-Z0-9]{1,3}\x{E001})?)",
+             "length(replace(hit, ' ', '')) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(substr(replace(hit, ' ', ''), 5)"
+             " || left(replace(hit, ' ', ''), 4), ''), lambda c: case when c >= 'A' then ascii(c) - 55 else ascii(c) - 48 end)),"
+             " lambda r, v: case when v >= 10 then (r * 100 + v) % 97 else (r * 10 + v) % 97 end) = 1"),
+    "national": (_DASHED, r"\x{E000}[0-9]{3}-[0-9]{2}-[0-9]{4}\x{E001}", "true"),
+}
+
+
+def _proposals(rank: int, kind: pii.Kind) -> str:
+    text, pattern, valid = _PROPOSED[kind.name]
+    among = "length(digits) between 14 and 19" if kind.name == "card" else "true"
+    return rf"""
+  select * from (
+    select rid, {rank} as rank, '{kind.name}' as kind, start, start + length(hit) as stop, {kind.score} as worth, '(?:^|[^a-z])(?:{kind.near})' as near,
+           '(?:^|[^a-z])(?:{kind.against})' as against, {str(kind.base).lower()} as base, {valid} as valid,
+           substr(text, greatest(start - {pii.CONTEXT}, coalesce(lag(start + length(hit)) over w, 0)) + 1,
+                  start - greatest(start - {pii.CONTEXT}, coalesce(lag(start + length(hit)) over w, 0))) as before,
+           substr(text, start + length(hit) + 1, least({pii.CONTEXT}, coalesce(lead(start) over w, length(text)) - start - length(hit))) as after
+    from (select *, regexp_replace(hit, '[^0-9]', '', 'g') as digits from (
+      select rid, text, i, hit, (sum(length(piece) + length(hit)) over (partition by rid order by i) - length(hit))::bigint as start from (
+        select rid, text, i, regexp_replace(hits[i], '[\x{{E000}}\x{{E001}}]', '', 'g') as hit, regexp_replace(pieces[i], '[\x{{E000}}\x{{E001}}]', '', 'g') as piece
+        from (select rid, text, regexp_extract_all({text}, '{pattern}') as hits, string_split_regex({text}, '{pattern}') as pieces from given), unnest(range(1, len(hits) + 1)) u(i))))
+    where {among} window w as (partition by rid order by start)) where valid"""
+
+
+PII_SQL = f"""
+with given as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+proposed as ({" union all ".join(_proposals(i, k) for i, k in enumerate(pii.KINDS))}),
+scored as (
+  select *, least(100, worth + case when regexp_matches(lower(before || ' ' || after), near) then 20 else 0 end
+                  - case when regexp_matches(lower(before || ' ' || after), against) then 30 else 0 end) as score from proposed),
+kept as (select *, concat(kind, ':', start::bigint, ':', stop::bigint) as shown from scored where base or score >= {pii.KEEP}),
+told as (
+  select rid, {", ".join(f"count(*) filter (kind = '{k.name}') as n_{k.name}" for k in pii.KINDS)}, max(score)::int as top_score,
+         string_agg(shown, ',' order by start, rank, stop) filter (base) as base, string_agg(shown, ',' order by start, rank, stop) as spans from kept group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::bigint as n_{k.name}" for k in pii.KINDS[:4])}, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, top_score, {", ".join(f"coalesce(n_{k.name}, 0)::bigint as n_{k.name}" for k in pii.KINDS[4:])}
+from given left join told using (rid)"""
