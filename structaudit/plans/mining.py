@@ -98,7 +98,8 @@ tok as (select doc_id, line_no, row_number() over (partition by doc_id, line_no
 
 
 LOW_STEREO = tx.STEREO
-FLAGS_SQL = f"""
+#: CTE flagged: what each word of ``tok`` is.
+FLAGGED_SQL = f"""
 flagged as (
   select w, lower(w) in ({quoted(tx.STOPWORDS + tx.NOISE)}) or regexp_matches(w, '^[.,]*[0-9][.,0-9]*$')
               or (regexp_matches(w, '[0-9]') and regexp_matches(w, '{tx.FORMULA_WORD}')) as bad,
@@ -110,7 +111,9 @@ flagged as (
          regexp_matches(lower(w), '{'|'.join(tx.FRAGMENTS)}') as fragment,
          case when length(w) >= 5 and regexp_matches(w, '^[A-Z]') and not contains(w, '-') then 1.0 else 0.0 end
          + case when regexp_matches(w, '^[A-Za-z]{{2,6}}$') and length(regexp_replace(w, '[^A-Z]', '', 'g')) >= 2 then 0.5 else 0.0 end as alone
-  from (select distinct w from tok)),
+  from (select distinct w from tok))
+"""
+FLAGS_SQL = FLAGGED_SQL + f""",
 seq as (select doc_id, line_no, start, w, n,
                [w, lead(w, 1) over v, lead(w, 2) over v, lead(w, 3) over v] as ws,
                [bad, lead(bad, 1) over v, lead(bad, 2) over v, lead(bad, 3) over v] as bads,
@@ -171,6 +174,31 @@ def scored_ngrams(spark, sf):
     return grams.select("doc_id", "pos.line_no", "pos.start", F.col("pos.words").alias("n"), "phrase", "score")
 
 
+CLAUSE = r"[.,;\n]| and "
+
+
+@query(
+    "phrase_scores",
+    """select phrase, n_words, case when noise then -1.0 when vitamin then 4.0 when value > 0 then value + least(n_words, 4) * 0.5 else -1.0 end::double as score, noise as is_noise
+    from (select phrase, n_words, bool_or(bad) or (n_words = 1 and bool_or(bare)) as noise,
+                 n_words = 2 and regexp_matches(lower(phrase), '^vitamins? [a-k][0-9]{0,2}$') as vitamin,
+                 (max(suffix) filter (k = n_words) + case when bool_or(stereo and k in (1, n_words)) then 2 else 0 end + case when bool_or(locant) then 2 else 0 end
+                  + case when bool_or(fragment) then 2 else 0 end + case when n_words = 1 then max(alone) else 0 end)::double as value
+          from tok join flagged using (w) group by phrase, n_words)""",
+    DOCS_SQL,
+    f"""phrases as (select distinct trim(regexp_replace(clause, '\\s+', ' ', 'g')) as phrase from docs, unnest(regexp_split_to_array(text, '{CLAUSE}')) u(clause)),
+    tok as (select phrase, len(ws)::int as n_words, generate_subscripts(ws, 1) as k, unnest(ws) as w from (select phrase, string_split(phrase, ' ') as ws from phrases where phrase <> ''))""",
+    FLAGGED_SQL,
+)
+def phrase_scores(spark, sf):
+    """Every different clause of the texts, of any number of words, graded as a name; -1 for what is none."""
+    clauses = docs(spark, sf).select(F.explode(F.split("text", CLAUSE)).alias("clause"))
+    phrases = clauses.select(tx.collapse_blanks(F.col("clause")).alias("phrase")).where("phrase <> ''").distinct()
+    return phrases.select(
+        "phrase", F.size(F.split("phrase", " ")).alias("n_words"), tx.candidate_score(F.col("phrase")).alias("score"), tx.is_noise(F.col("phrase")).alias("is_noise"),
+    )
+
+
 @query(
     "candidate_names", "select doc_id, phrase, score, pos[1] as line_no from cands", DOCS_SQL, tokens_sql("docs"), FLAGS_SQL,
 )
