@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = [
     "name_first_findings", "reference_matches", "policy_outcomes", "scorecard", "candidate_budget", "page_references",
     "source_cascade", "alias_lookup", "fuzzy_labels", "service_verdicts", "page_figures", "stored_replay",
-    "deck_check_findings", "deck_check_summary", "loose_lookup", "resolved_salts", "drawing_regions", "did_you_mean",
+    "deck_check_findings", "deck_check_summary", "loose_lookup", "resolved_salts", "drawing_regions", "did_you_mean", "phrase_scores",
 ]
 
 
