@@ -22,3 +22,8 @@ def test_a_window_is_scored_once_and_a_text_is_split_once(spark):
 def test_formula_notes_are_written_for_different_strings_only(spark):
     _, found = filters(registry.QUERIES["formula_differences"](spark, "/root/testdata/sf0.001"))
     assert not [line for line in found if "regexp_extract_all" in line]
+
+
+def test_reference_formulas_are_worked_out_where_a_rule_asks(spark):
+    plan, _ = filters(registry.QUERIES["service_verdicts"](spark, "/root/testdata/sf0.001"))
+    assert "AS _ref_formula" not in plan
