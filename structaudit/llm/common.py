@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structaudit.sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, set as the session's checkpoint folder.
-
-    Only a local session without that setting (a test) gets a folder of its own; a cluster
-    without it is an error, because other machines could not read a local folder.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, whichever executor is lost."""
     shared_folder(df.sparkSession)
