@@ -1,6 +1,9 @@
 """What costs most is worked out once, over tasks that are many enough, and with the same rows."""
 
+from pyspark.sql import functions as F
+
 from structaudit.operators import mining as mn
+from structaudit.operators import resolve as rs
 from structaudit.plans import decks, registry
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +25,18 @@ def test_texts_of_one_row_group_are_mined_by_many_tasks(spark):
     assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert "RepartitionByExpression [doc_id" in optimized(mn.candidates(docs, ["doc_id"], "text"))
     assert mn.candidates(docs, ["doc_id"], "text").count() == 99 * mn.candidates(docs.limit(1), ["doc_id"], "text").count()
+
+
+def test_hangul_runs_meet_the_aliases_in_one_pass(spark):
+    table = spark.createDataFrame(
+        [("가나", "one", False, 1), ("가나은", "two", False, 2), ("다라", "all", True, 3), ("마-바", "four", False, 4), ("이", "five", False, 5)],
+        "alias string, target string, whole_only boolean, ord int",
+    ).withColumn("alias_key", F.regexp_replace("alias", "-", ""))
+    docs = spark.createDataFrame([(1, "가나은 가나는, 가나이라는 x다라 마바으로 은 이은 이\n가나가나 가나 비타민C")], "doc_id long, text string")
+    hits = mn.hangul_hits(docs, ["doc_id"], "text", table)
+    assert optimized(hits).count("regexp_extract_all") == 1
+    got = sorted((r.pos.line_no, r.pos.start, r.phrase) for r in hits.collect())
+    assert got == [(0, 0, "two"), (0, 1, "one"), (0, 2, "one"), (0, 4, "four"), (0, 6, "five"), (0, 7, "five"), (1, 1, "one")]
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([가-힣]+)"), F.lit(1))).alias("query"))
+    known = {r.query: r.target for r in rs.alias_lookup(runs, table, in_text=True).collect()}
+    assert known == {"가나은": "two", "가나는": "one", "가나이라는": "one", "마바으로": "four", "이은": "five", "이": "five", "가나": "one"}
