@@ -78,3 +78,10 @@ def test_odd_keys_match_as_they_do_when_references_and_readings_are_joined(spark
         else:
             assert r.reason in ("no_name", "no_engine") or r.item_id not in families
     assert {"exact", "skeleton", "agreed_other", "single_family_other", "families_disagree", "self_inconsistent", "unparseable"} <= kinds
+
+
+def test_candidates_are_grouped_once_for_their_ranks(spark):
+    ranked = registry.QUERIES["agreement_candidates"](spark, SF)
+    assert "l_orderkey" not in optimized(ranked)
+    per_item = ranked.groupBy("item_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct("rank").alias("ranks"))
+    assert per_item.count() and not per_item.where("n <> last or n <> ranks").count()
