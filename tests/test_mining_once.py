@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from structaudit.functions import text as tx
 from structaudit.operators import mining as mn
+from structaudit.plans import decks
 
 
 def optimized(df):
@@ -47,3 +48,23 @@ def test_ordinary_words_are_told_as_the_whole_test_tells_them(spark):
     old = r"(?=[0-9\-,'+]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9\-,'+]*[A-Za-z0-9\-+]"
     tokens = [F.regexp_extract_all("line", F.lit(p), F.lit(0)) for p in (tx.PLAIN_TOKEN, old)]
     assert not lines.where(tokens[0] != tokens[1]).count()
+
+
+def test_ends_and_spellings_are_those_of_the_whole_patterns(spark):
+    rng = random.Random(5)
+    parts = [" ", "\t", "\n", "　", " ", "\x85", "\x1c", "-", "–", "a", "B", "α", "(R)", "cis-", "D-", "acn", "DCM", "x1", ",", "'", "~", "가"]
+    words = [*("".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(4000)), "acn", "ACN", " acn", "a b", "a  b", "propan ol", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    whole = F.regexp_replace("w", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    assert not df.where(~tx.strip(F.col("w")).eqNullSafe(whole)).count()
+    assert not df.where(~tx.spelling_variants(F.col("w")).eqNullSafe(tx._spellings(F.col("w")))).count()
+    assert [r[0] for r in df.where("w = 'ACN' or w = 'propan ol'").select(tx.spelling_variants(F.col("w"))).collect()] == [["ACN", "acetonitrile"], ["propan ol"]]
+
+
+def test_captions_are_made_once_for_references_and_page_facts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = decks.page_text(decks.elements(spark, sf))
+    assert "l_orderkey" not in optimized(texts) and "o_orderkey" not in optimized(texts)
+    orders, items, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem", "documents"))
+    named = orders.join(items, orders.o_orderkey == items.l_orderkey, "left_semi").count()
+    assert texts.where("part = 0").count() == docs.count() and texts.where("part > 0").count() == named
